@@ -12,7 +12,7 @@ import base64
 import html
 import math
 import re
-import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.sketch import gather
 from lectern.llm.textutil import WORD
 
 #: Codecs that UTF-8 or Western bytes are commonly misread with.
@@ -35,6 +36,7 @@ TOKEN = re.compile(r"[^ \t\r\n]+")
 ENTITY = re.compile(r"&(?:[A-Za-z]+[0-9]*|#[0-9]+|#x[0-9A-Fa-f]+);")
 UTF7 = re.compile(r"\+([A-Za-z0-9/]{3,})-?")
 BEAM = 48
+INNER = re.compile(r"\w[¿¡„«“»”…‘°€—–](?=\w)")
 #: Log of the corpus size that a word's frequency is held against; a path pays it for each word.
 WORD_COST = 14.0
 OPENING, CLOSING = set("¿¡„«‘"), set("”»…")
@@ -94,13 +96,11 @@ class Frequencies:
         return int(min(self.rows[0, h & self.mask], self.rows[1, (h >> 32) & self.mask]))
 
 
-def word_frequencies(docs: DataFrame, text_col: str, bits: int = 20, slices: int = 32) -> np.ndarray:
-    """Counts of all lower-case words of all texts: 2 x 2**bits counters of 4 bytes, whatever the corpus holds."""
-    size, width = 1 << bits, (2 << bits) // slices
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
+def word_frequencies(docs: DataFrame, text_col: str, bits: int = 20) -> np.ndarray:
+    """Counts of all lower-case words of all texts: 2 x 2**bits counters, whatever the corpus holds."""
+    size = 1 << bits
 
+    def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total: Counter[str] = Counter()
         flat = np.zeros(2 * size, dtype=np.int64)
 
@@ -108,8 +108,8 @@ def word_frequencies(docs: DataFrame, text_col: str, bits: int = 20, slices: int
             if total:
                 h = np.fromiter((xxhash.xxh64_intdigest(w) for w in total), dtype=np.uint64, count=len(total))
                 n = np.fromiter(total.values(), dtype=np.int64, count=len(total))
-                flat[:size] += np.bincount((h & np.uint64(size - 1)).astype(np.int64), n, size).astype(np.int64)
-                flat[size:] += np.bincount(((h >> np.uint64(32)) & np.uint64(size - 1)).astype(np.int64), n, size).astype(np.int64)
+                np.add.at(flat, (h & np.uint64(size - 1)).astype(np.int64), n)
+                np.add.at(flat, size + ((h >> np.uint64(32)) & np.uint64(size - 1)).astype(np.int64), n)
                 total.clear()
 
         for batch in batches:
@@ -119,20 +119,9 @@ def word_frequencies(docs: DataFrame, text_col: str, bits: int = 20, slices: int
             if len(total) > 300_000:
                 flush()
         flush()
-        parts = np.minimum(flat, 2**31 - 1).astype(np.uint32).reshape(slices, width)
-        keep = [i for i in range(slices) if parts[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([parts[i].tobytes() for i in keep], pa.binary())], ["slice", "counts"])
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(width, dtype=np.int64)
-        for blob in table.column("counts").to_pylist():
-            total += np.frombuffer(blob, dtype=np.uint32)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.uint32).tobytes()], pa.binary())})
+        return flat
 
-    out = np.zeros(2 * size, dtype=np.uint32)
-    for row in docs.select(text_col).mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
-        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.uint32)
-    return out.reshape(2, size)
+    return gather(docs.select(text_col), fill, 2 * size).reshape(2, size)
 
 
 def _swapped(token: str) -> tuple[str, int]:
@@ -283,7 +272,7 @@ class Restorer:
                     continue
                 if not self._coherent(token, text):
                     continue
-                cost += 2.0 * (text[-1] in OPENING or text[0] in CLOSING)
+                cost += 3.0 * len(INNER.findall(text)) + 2.0 * (text[-1] in OPENING or text[0] in CLOSING)
                 s = self.score(text) - cost
                 if s > top + 1.0:
                     top, best, flagged = s, text, True

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.sketch import gather
 from lectern.llm.textutil import U64, mix, shingle_set, words
 from lectern.session import cut
 
@@ -43,45 +44,18 @@ def _meets(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return shared + 1e-9 >= threshold * (len(a) + len(b) - shared) and shared > 0
 
 
-def frequency_sketch(docs: DataFrame, text: str, shingle: int, bits: int, slices: int = 32) -> np.ndarray:
-    """Occurrences of shingle hashes in 2**bits buckets over all texts, capped at 65535: a fixed 2**(bits+1) bytes."""
-    width = (1 << bits) // slices
+def frequency_sketch(docs: DataFrame, text: str, shingle: int, bits: int) -> np.ndarray:
+    """Texts that hold a shingle, by 2**bits hash buckets over all texts: a fixed size, never under the true count."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.uint32)
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> None:
-            nonlocal held, size
+    def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(1 << bits, dtype=np.int64)
+        for batch in batches:
+            held = [shingle_set(words(v), shingle) >> U64(64 - bits) for v in batch.column(0).to_pylist() if v]
             if held:
-                np.add.at(total, *np.unique(np.concatenate(held), return_counts=True)) if size < 1 << 12 else np.add(total, np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32), out=total)
-            held, size = [], 0
+                total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
+        return total
 
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                if value:
-                    s = shingle_set(words(value), shingle) >> U64(64 - bits)
-                    held.append(s.astype(np.int64))
-                    size += len(s)
-                    if size > 2_000_000:
-                        flush()
-        flush()
-        if total.any():
-            parts = np.minimum(total, 65535).astype(np.uint16).reshape(slices, width)
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "counts"])
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(width, dtype=np.uint64)
-        for blob in table.column("counts").to_pylist():
-            total += np.frombuffer(blob, dtype=np.uint16)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
-
-    parts = docs.select(text).mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
-    out = np.zeros(1 << bits, dtype=np.uint16)
-    for row in parts:
-        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.uint16)
-    return out
+    return gather(docs.select(text), fill, 1 << bits)
 
 
 def near_duplicate_pairs(
