@@ -1,0 +1 @@
+"""Queries of the library, built from the operators."""
