@@ -11,7 +11,7 @@ from lectern.operators import retrieval as R
 from lectern.plans.sql import RETRIEVAL as SQL  # noqa: F401
 from lectern.tables import table
 
-QUERY_FROM, K, CELLS, PROBES = 50, 10, 32, 12
+QUERY_FROM, K, CELLS, PROBES = 50, 10, 64, 40
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
