@@ -180,6 +180,7 @@ class Restorer:
     def __init__(self, freq: Callable[[str], int], rounds: int = 3):
         self.freq, self.rounds = freq, rounds
         self.memo: dict[str, tuple[str, bool]] = {}
+        self.table_of: dict[str, int] = {}  # by which table a token was read back
         pairs = []
         for read, true in WESTERN_READ_AS:
             table = {}
@@ -304,8 +305,8 @@ class Restorer:
         """Western single bytes shown in another single-byte table, judged by the words that come out."""
         words = WORD.findall(token)
         own = [self.freq(w.lower()) for w in words]
-        best, gain = token, 0.0
-        for table in self.western:
+        best, gain, by = token, 0.0, -1
+        for at, table in enumerate(self.western):
             text = "".join(table.get(c, c) for c in token)
             if text == token:
                 continue
@@ -322,7 +323,9 @@ class Restorer:
             mixed = any(len({s for s in map(_script, w) if s}) > 1 for w in words) or len(words) > len(fresh)
             ratio = min(changed) / (min(before) + 0.5)
             if min(changed) >= (2 if mixed else 5) and ratio >= (3 if mixed else 12) and ratio > gain:
-                best, gain = text, ratio
+                best, gain, by = text, ratio, at
+        if gain > 0:
+            self.table_of[token] = by
         return best, gain > 0
 
     @staticmethod
@@ -345,6 +348,7 @@ class Restorer:
             known = (text, garbled)
             if len(self.memo) > 300_000:
                 self.memo.clear()
+                self.table_of.clear()
             self.memo[token] = known
         return known
 
@@ -353,6 +357,7 @@ class Restorer:
         if not text or (text.isascii() and "&" not in text and "+" not in text):
             return text, 0
         n = 0
+        tables: Counter[int] = Counter()
 
         def back(m: re.Match) -> str:
             nonlocal n
@@ -361,9 +366,28 @@ class Restorer:
                 return t
             fixed, garbled = self.token(t)
             n += garbled
+            if t in self.table_of:
+                tables[self.table_of[t]] += 1
             return fixed
 
-        return TOKEN.sub(back, text), n
+        fixed = TOKEN.sub(back, text)
+        if not tables:
+            return fixed, n
+        # words too short to judge alone follow the table that the rest of the text was read by
+        table = self.western[tables.most_common(1)[0][0]]
+
+        def follow(m: re.Match) -> str:
+            nonlocal n
+            t = m.group(0)
+            if t.isascii() or len(t) > 3 or not any(c in table for c in t):
+                return t
+            other = "".join(table.get(c, c) for c in t)
+            if self.freq(other.lower()) > 10 * self.freq(t.lower()) + 2:
+                n += 1
+                return other
+            return t
+
+        return TOKEN.sub(follow, fixed), n
 
 
 def restore_encoding(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = 20) -> DataFrame:
