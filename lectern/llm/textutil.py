@@ -7,10 +7,10 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 WORD = re.compile(r"[^\W_]+")
 U64 = np.uint64
-_SEEN: dict[str, int] = {}
 
 
 def words(text: str | None) -> list[str]:
@@ -40,20 +40,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-def word_hash(word: str) -> int:
-    """A 64-bit hash of one word that is the same in every process."""
-    import xxhash
+class _Hashes(dict):
+    """64-bit hashes of words, the same in every process; kept for words seen before."""
 
-    value = _SEEN.get(word)
-    if value is None:
-        if len(_SEEN) > 400_000:
-            _SEEN.clear()
-        value = _SEEN[word] = xxhash.xxh64_intdigest(word)
-    return value
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+_SEEN = _Hashes()
 
 
 def hashes(tokens: list[str]) -> np.ndarray:
-    return np.fromiter((word_hash(t) for t in tokens), dtype=np.uint64, count=len(tokens))
+    return np.fromiter(map(_SEEN.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
 def shingle_set(tokens: list[str], size: int) -> np.ndarray:
