@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.endings import Endings, ending_counts
+from lectern.llm.endings import ITEM, Endings, ending_counts
 from lectern.llm.language import language, requested, unquoted
 from lectern.llm.textutil import words
 from lectern.llm.truncation import LIKELY, SURE, length_spikes
@@ -38,6 +38,8 @@ NOTHING = re.compile(r"library|bibliothek|bibliothèque|biblioteca|archiv|transc
 LEAD = re.compile(r"^\s*(?:answer|antwort|réponse|respuesta|a|question|frage|pregunta|q)\s*[:：]\s*", re.I)
 SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 SHORTENED = 24
+#: An answer in prose that leaves its sentence open is broken off unless the corpus often ends so.
+UNCLOSED = 0.5
 
 
 def is_empty(answer: str | None) -> bool:
@@ -95,7 +97,9 @@ def judge(question: str | None, answer: str | None, complete: float, shortened:
         return "refusal"
     if is_foreign(question, answer):
         return "wrong_language"
-    if complete < SURE or (complete < LIKELY and (shortened or at_limit)):
+    last = answer.rstrip().rsplit("\n", 1)[-1]
+    prose = not ITEM.match(last) and len(words(last)) >= 6  # a sentence left without its end; list items need none
+    if complete < SURE or (complete < LIKELY and (shortened or at_limit)) or (prose and complete < UNCLOSED):
         return "truncated"
     return None
 
