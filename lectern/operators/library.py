@@ -79,18 +79,17 @@ def status_of(requested: DataFrame, videos: DataFrame, transcripts: DataFrame) -
 
 
 def details(videos: DataFrame, transcripts: DataFrame, questions: DataFrame, entities: DataFrame) -> DataFrame:
-    """One row per video: newest transcript, questions in order, entities by name, both as lists.
+    """What a video's page shows, as rows (video_id, part, sort_key, value): newest transcript, questions in order, entities by name.
 
-    The lists are per video; a video's children are what a page shows at once.
+    Rows, not lists: a video that holds a third of all entities stays spread over tasks. Rows delivered twice come once;
+    children of unknown videos are left out.
     """
-    newest = latest_by_aggregate(transcripts.where("video_id is not null"), "video_id", ["id", "text", "shorty"])
-    newest = newest.select("video_id", F.col("id").alias("transcript_id"), F.length("text").alias("text_chars"), F.col("shorty").alias("brief"))
-    asked = questions.groupBy("video_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("created_at", "question_index", "id", "question"))), lambda q: q["question"]).alias("questions"))
-    named = entities.where("name is not null").groupBy("video_id").agg(F.array_sort(F.collect_set("name")).alias("entities"))
-    return (
-        videos.select("video_id", "title", "channel")
-        .join(newest, "video_id", "left").join(asked, "video_id", "left").join(named, "video_id", "left")
-    )
+    newest = latest_by_aggregate(transcripts.where("video_id is not null"), "video_id", ["id"])
+    text = newest.select("video_id", F.lit("transcript").alias("part"), F.lit("").alias("sort_key"), F.col("id").cast("string").alias("value"))
+    place = F.concat_ws("/", F.coalesce(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"), F.lit("-")), F.lpad(F.coalesce(F.col("question_index").cast("string"), F.lit("-")), 6, "0"), F.col("id").cast("string"))
+    asked = questions.select("video_id", F.lit("question").alias("part"), place.alias("sort_key"), F.col("question").alias("value")).distinct()
+    named = entities.where("name is not null").select("video_id", F.lit("entity").alias("part"), F.col("name").alias("sort_key"), F.col("name").alias("value")).distinct()
+    return text.unionByName(asked).unionByName(named).join(videos.select("video_id"), "video_id", "left_semi")
 
 
 def segments_to_text(segments: DataFrame, key: str, start: str, text: str) -> DataFrame:

@@ -239,9 +239,8 @@ def brief_headers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def video_details(spark: SparkSession, d: str) -> DataFrame:
-    """All videos with newest transcript, questions in order and entities by name."""
-    found = L.details(*_four(spark, d))
-    return found.select("video_id", "title", "channel", "transcript_id", "text_chars", F.array_join("questions", " | ").alias("questions"), F.array_join("entities", " | ").alias("entities"))
+    """The page of every video, as rows."""
+    return L.details(*_four(spark, d))
 
 
 def video_status(spark: SparkSession, d: str) -> DataFrame:

@@ -143,10 +143,11 @@ LIBRARY: dict[str, str] = {
         SELECT video_id, 'SOURCE: ' || coalesce(nullif({strip('title')}, ''), 'Untitled') || chr(10) || 'CHANNEL: ' || c || chr(10) || 'DATE: ' || coalesce(nullif({strip(field('upload_date'))}, ''), 'unknown') || chr(10) || 'CREATOR: ' || c || chr(10) || chr(10) AS header
         FROM (SELECT *, coalesce(nullif({strip('channel')}, ''), 'Unknown channel') AS c FROM videos)""",
     "video_details": f"""
-        SELECT v.video_id, v.title, v.channel, t.id AS transcript_id, length(t.text)::INTEGER AS text_chars, q.questions, e.entities FROM videos v
-        LEFT JOIN ({_NEWEST.format(also='')}) t ON t.video_id = v.video_id
-        LEFT JOIN (SELECT video_id, string_agg(question, ' | ' ORDER BY created_at NULLS FIRST, question_index NULLS FIRST, id) AS questions FROM (SELECT DISTINCT video_id, created_at, question_index, id, question FROM synthetic_questions) GROUP BY video_id) q ON q.video_id = v.video_id
-        LEFT JOIN (SELECT video_id, string_agg(name, ' | ' ORDER BY name) AS entities FROM (SELECT DISTINCT video_id, name FROM entities WHERE name IS NOT NULL) GROUP BY video_id) e ON e.video_id = v.video_id""",
+        SELECT * FROM (
+            SELECT video_id, 'transcript' AS part, '' AS sort_key, id::VARCHAR AS value FROM ({_NEWEST.format(also='')})
+            UNION ALL SELECT DISTINCT video_id, 'question', coalesce(strftime(created_at, '%Y-%m-%d %H:%M:%S'), '-') || '/' || lpad(coalesce(question_index::VARCHAR, '-'), 6, '0') || '/' || id::VARCHAR, question FROM synthetic_questions
+            UNION ALL SELECT DISTINCT video_id, 'entity', name, name FROM entities WHERE name IS NOT NULL
+        ) c WHERE EXISTS (SELECT 1 FROM videos v WHERE v.video_id = c.video_id)""",
     "video_status": """
         SELECT w.video_id, v.video_id IS NOT NULL AS known, t.video_id IS NOT NULL AS has_transcript, v.title, v.channel
         FROM (SELECT DISTINCT video_id FROM processing_queue WHERE video_id IS NOT NULL) w LEFT JOIN videos v ON v.video_id = w.video_id
