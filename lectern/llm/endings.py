@@ -17,6 +17,8 @@ UNIT = re.compile(r"\n+|[.!?。！？…]+(?=\s|$|[\"”’»)\]])|[^\W\d_]+(?:[
 CLOSED = re.compile(r"[.!?。！？…]+[\"”’'»)\]*_]*$|[\])»”]$")
 OPEN = re.compile(r"(?:[,;:–—\-(\[{“„«¿¡&/+=<]|\bN°|�)$")
 MARKER = re.compile(r"(?:^|\n)\s*(?:\d{1,3}[.)]|[-*•–])\s*$")
+#: A short list item, which needs no closing sign.
+ITEM_WORDS = 9
 ITEM = re.compile(r"\s*(?:[-*•–]|\d{1,3}[.)])\s+\S")
 #: Endings that need no sign: a link, and a text that is only a name.
 LINK = re.compile(r"(?:https?://|www\.)\S{6,}$")
@@ -148,8 +150,10 @@ class Endings:
             if e + g < (3 if n > 1 else 1):
                 break
             best = (e + 2 * best) / (e + g + 2)
-        if ITEM.match(last_line) and "\n" in body and len(u) > 1 and self._seen(u[-2:])[0]:
-            return max(best, 0.1)  # list items close without a sign
+        if ITEM.match(last_line) and "\n" in body and 1 < len(u) and len(last_line.split()) <= ITEM_WORDS:
+            ends, goes = self._seen(u[-2:])
+            if ends and ends >= 0.01 * (ends + goes):
+                return max(best, 0.1)  # short list items close without a sign
         return best
 
     def _seen(self, words: list[str]) -> tuple[int, int]:
