@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import chunks, context_block, embed_input, is_blank, record_id
-from lectern.functions.vectors import embed
+from lectern.functions.vectors import cosine, embed
 from lectern.operators.nearest import best_per_id, exact_neighbours
+from lectern.operators.providers import Provider
 from lectern.operators.search import keyword_search
 from lectern.operators.versions import latest_by_aggregate
 
@@ -100,6 +103,74 @@ def retrieve(questions: DataFrame, records: DataFrame, *, k: int = 4, briefs: in
     return kept.where((F.col("layer") == "shorty") | (F.col("place") <= k)).select("question_id", "layer", "place", "video_id", "ordinal", "document", "distance")
 
 
+def inferred_filters(questions: DataFrame, videos: DataFrame, *, block: int = 2_000) -> DataFrame:
+    """What a question says about metadata: (question_id, channels, date_from, date_to).
+
+    Channels are the library's channel names that occur in the question (no case); dates are its ISO days, least and greatest.
+    Questions are a stated set, held in blocks against the distinct channels. Without a hint the fields are null.
+    """
+    names = videos.where(~is_blank("channel")).select("channel").distinct()
+    spark = videos.sparkSession
+    found = spark.createDataFrame([], "question_id long, channel string")
+    held: list[tuple[int, str]] = []
+
+    def scan(part: list[tuple[int, str]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hits = [(q, c) for c in batch.column(0).to_pylist() for q, text in shared.value if c.strip().lower() in text]
+                cols = list(zip(*hits)) if hits else [(), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string())], ["question_id", "channel"])
+
+        return names.mapInArrow(run, "question_id long, channel string")
+
+    for row in questions.where("question is not null").select("question_id", F.lower("question")).toLocalIterator():
+        held.append((row[0], row[1]))
+        if len(held) == block:
+            found, held = found.unionByName(scan(held)), []
+    if held:
+        found = found.unionByName(scan(held))
+    days = F.regexp_extract_all("question", F.lit(r"\d{4}-\d{2}-\d{2}"), F.lit(0))
+    dated = questions.select("question_id", F.array_min(days).alias("date_from"), F.array_max(days).alias("date_to"))
+    return dated.join(found.groupBy("question_id").agg(F.array_sort(F.collect_set("channel")).alias("channels")), "question_id", "left")
+
+
+def candidate_videos(filters: DataFrame, videos: DataFrame) -> DataFrame:
+    """Videos of each question's filters: (question_id, video_id). Questions without a filter or a match have no rows."""
+    known = videos.where("video_id is not null").select("video_id", "channel", "watch_date")
+    day = F.substring("watch_date", 1, 10)
+    bounds = (F.col("date_from").isNull() | (day >= F.col("date_from"))) & (F.col("date_to").isNull() | (day <= F.col("date_to")))
+    named = filters.where("channels is not null").withColumn("channel", F.explode("channels")).join(known, "channel").where(bounds)
+    # dates alone: joined by month, so the range join is an equi-join
+    month = lambda c: F.trunc(F.to_date(c), "month")
+    months = F.explode(F.sequence(month("date_from"), month("date_to"), F.expr("interval 1 month")))
+    valid = filters.where("channels is null and try_to_date(date_from) is not null and try_to_date(date_to) is not null")
+    dated = valid.withColumn("month", months).join(known.withColumn("month", F.trunc(F.try_to_date(day), "month")), "month").where(bounds)
+    return named.select("question_id", "video_id").unionByName(dated.select("question_id", "video_id")).distinct()
+
+
+def restricted_search(asked: DataFrame, records: DataFrame, kind: str, candidates: DataFrame, k: int) -> DataFrame:
+    """The k nearest records of each question among its own candidates: (question_id, id, distance, place), each record once."""
+    pairs = candidates.join(records.where(F.col("kind") == kind).select("video_id", "id", "embedding"), "video_id")
+    variants_of = asked.select("question_id", F.col("embedding").alias("_q"))
+    scored = pairs.join(variants_of, "question_id").select("question_id", "id", F.round(1 - F.coalesce(cosine("embedding", "_q"), F.lit(0.0)), 9).alias("distance"))
+    return best_per_id(scored, k).select("question_id", "id", "distance", F.col("rank").alias("place"))
+
+
+def answers(contexts_df: DataFrame, provider: Provider) -> DataFrame:
+    """Answers of a provider from contexts: (question_id, answer, used_context); an empty context answers itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            qid, question, context, used = (batch.column(i).to_pylist() for i in range(4))
+            made = [provider.answer(q or "", c) if u else c for q, c, u in zip(question, context, used)]
+            yield pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.array(made, pa.string()), batch.column(3)], ["question_id", "answer", "used_context"])
+
+    source = contexts_df.select(F.col("question_id").cast("long"), "question", "context", "used_context")
+    return source.mapInArrow(run, "question_id long, answer string, used_context array<string>")
+
+
 def keyword_layer(questions: DataFrame, transcripts: DataFrame, videos: DataFrame, k: int = 10) -> DataFrame:
     """The brief layer without vectors: keyword overlap with brief and title, in the shape of ``retrieve``."""
     titled = transcripts.where(~is_blank("shorty")).join(videos.select("video_id", "title"), "video_id")

@@ -102,3 +102,21 @@ def with_reasons(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Rows with ``reasons``: the names of the rules that they break (empty for sound rows)."""
     named = [F.when(F.coalesce(broken, F.lit(False)), F.lit(name)) for name, broken in rules.items()]
     return df.withColumn("reasons", F.array_compact(F.array(*named)))
+
+
+def store_transcripts(videos: DataFrame, transcripts: DataFrame, new: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """New transcripts appended, and the videos with their flag and time of fetching set: both states of one change."""
+    touched = new.where(F.col("video_id").isNotNull()).select("video_id").distinct()
+    changes = touched.select("video_id", F.lit(True).alias("has_transcript"), now.alias("transcript_fetched_at"))
+    return update(videos, changes, "video_id", ["has_transcript", "transcript_fetched_at"]), transcripts.unionByName(conform(new, transcripts, {"language": "en"}))
+
+
+def write_back_ids(rows: DataFrame, records: DataFrame, key: Sequence[str], out: str = "embedding_id") -> DataFrame:
+    """Record ids put into their source rows by a deterministic key (never by position)."""
+    return update(rows, records.select(*key, F.col("record_id").alias(out)), list(key), [out])
+
+
+def sweep(df: DataFrame, column: str, stale: Sequence[str], value: str, older_than: Column) -> DataFrame:
+    """Rows left in one of the ``stale`` values since before a time get ``value``."""
+    hit = F.col(column).isin(*stale) & F.coalesce(older_than, F.lit(False))
+    return df.withColumn(column, F.when(hit, F.lit(value)).otherwise(F.col(column)))

@@ -150,3 +150,16 @@ def test_cascade_on_a_cycle(spark):
     t = {"x": spark.createDataFrame([(1, 2), (2, 3), (3, 99)], "id long, up long")}
     got = {r["record_id"]: r["inherited"] for r in O.orphan_cascade(t, [O.ForeignKey("x", "up", "x", "id")], {"x": "id"}).collect()}
     assert got == {"3": False, "2": True, "1": True}
+
+
+def test_store_write_back_and_sweep(spark):
+    videos = spark.createDataFrame([("a", False, None), ("b", False, None)], "video_id string, has_transcript boolean, transcript_fetched_at timestamp")
+    t = spark.createDataFrame([(1, "b", "old", "de")], "id long, video_id string, text string, language string")
+    v2, t2 = W.store_transcripts(videos, t, spark.createDataFrame([(2, "a", "new")], "id long, video_id string, text string"), F.lit(T0))
+    assert {r["video_id"]: r["has_transcript"] for r in v2.collect()} == {"a": True, "b": False}
+    assert {r["id"]: r["language"] for r in t2.collect()} == {1: "de", 2: "en"}
+    q = spark.createDataFrame([("a", 0, None), ("a", 1, "x")], "video_id string, question_index int, embedding_id string")
+    r = spark.createDataFrame([("a", 0, "a:sq:0")], "video_id string, question_index int, record_id string")
+    assert sorted(str(x["embedding_id"]) for x in W.write_back_ids(q, r, ["video_id", "question_index"]).collect()) == ["a:sq:0", "x"]
+    jobs = spark.createDataFrame([(1, "running", T0), (2, "running", T2), (3, "done", T0), (4, "running", None)], "id long, status string, t timestamp")
+    assert {x["id"]: x["status"] for x in W.sweep(jobs, "status", ["running"], "error", F.col("t") < F.lit(T1)).collect()} == {1: "error", 2: "running", 3: "done", 4: "running"}

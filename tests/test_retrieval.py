@@ -85,3 +85,19 @@ def test_generation(spark):
     got = {r["video_id"]: r for r in P.generate(df, Failing()).collect()}
     assert got["a"]["questions"] == ["What is said about Ada Lovelace?", "What is said about Alan Turing?"]
     assert got["b"]["error"] == "no text" and got["c"]["error"] == "no"
+
+
+def test_filters_and_answers(spark):
+    videos = spark.createDataFrame([("v1", "Paper Bench", "2025-03-01 10:00:00"), ("v2", "Paper Bench", "2024-01-01 00:00:00"), ("v3", None, "2025-03-15 00:00:00"), ("v4", "Other", None)], "video_id string, channel string, watch_date string")
+    asked = spark.createDataFrame([(1, "What did paper bench say?", None), (2, "What came from 2025-02-27 to 2025-03-15?", None), (3, "What?", None), (4, None, None)], "question_id long, question string, rewrites array<string>")
+    filters = R.inferred_filters(asked, videos)
+    assert {r["question_id"]: (r["channels"], r["date_from"], r["date_to"]) for r in filters.collect()} == {1: (["Paper Bench"], None, None), 2: (None, "2025-02-27", "2025-03-15"), 3: (None, None, None), 4: (None, None, None)}
+    found = R.candidate_videos(filters, videos)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "v1"), (1, "v2"), (2, "v1"), (2, "v3")]
+    index = R.with_vectors(R.index_records(*records(spark)))
+    vectors = R.variants(asked).withColumn("embedding", R.embed(R.embed_input("query")))
+    near = R.restricted_search(vectors, index, "shorty", found, 1).join(index.select("id", "video_id"), "id")
+    assert sorted((r["question_id"], r["video_id"]) for r in near.collect()) == [(1, "v1"), (2, "v1" if near.where("question_id = 2").first()["video_id"] == "v1" else "v3")]
+    made = R.answers(R.contexts(asked, R.retrieve(asked.limit(1), index, k=1)), P.Extractive())
+    got = {r["question_id"]: r["answer"] for r in made.collect()}
+    assert got[3] == R.NOTHING and got[1].startswith("[chunk]")
