@@ -58,7 +58,7 @@ def frequency_sketch(docs: DataFrame, text: str, shingle: int, bits: int) -> np.
     return gather(docs.select(text), fill, 1 << bits)
 
 
-def near_duplicate_pairs(
+def linked_representatives(
     docs: DataFrame,
     *,
     id_col: str = "id",
@@ -72,11 +72,11 @@ def near_duplicate_pairs(
     rare: int = 0,
     sketch_bits: int = 20,
     ids_unique: bool = False,
-) -> DataFrame:
-    """Pairs (id_a, id_b, jaccard), id_a < id_b, of texts whose shingle sets reach ``threshold``.
+) -> tuple[DataFrame, DataFrame]:
+    """Links between texts and the membership of copies: (a, b, jaccard) with a < b, and (id, rep).
 
-    Null texts and texts under ``min_words`` words have no partners. Rows whose id is null are left out. Texts with the
-    same shingle set are collapsed to one representative before the search and expanded afterwards; ids delivered
+    Null texts and texts under ``min_words`` words are in neither. Rows whose id is null are left out. Texts with the
+    same shingle set have one representative, their least id; only representatives are searched. Ids delivered
     twice count once (the least text). Columns other than the two named are ignored. ``rare``: shingles seen at
     most so often (by the sketch) are also indexed alone when they lie in the prefix; 0 leaves them to the combinations.
     ``ids_unique`` states that the id is a key, which saves a shuffle.
@@ -150,6 +150,15 @@ def near_duplicate_pairs(
     )
     linked = full.mapInArrow(verify, "a long, b long, jaccard double")
     copies = signed.select("id", "same").join(members, "same").select("id", "rep")
+    return linked, copies
+
+
+def near_duplicate_pairs(docs: DataFrame, **options: object) -> DataFrame:
+    """All pairs (id_a, id_b, jaccard), id_a < id_b, of texts that reach the threshold, copies included.
+
+    Options and edge cases as in ``linked_representatives``. Use ``near_duplicate_summary`` where copies need no expansion.
+    """
+    linked, copies = linked_representatives(docs, **options)
     twins = copies.where("id <> rep")
     # most texts have no copies: only representatives with copies are expanded
     groups = twins.select("rep").distinct().select("rep", F.lit(True).alias("many"))
@@ -164,6 +173,25 @@ def near_duplicate_pairs(
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "jaccard")
 
 
+def near_duplicate_summary(docs: DataFrame, *, id_col: str = "id", **options: object) -> DataFrame:
+    """One row per document: (id, class_id, links), without expanding copies into pairs.
+
+    links counts the documents that a document is a near duplicate of: its copies, and the linked representatives with all
+    their copies. class_id is the least id of its class; documents without partners are alone, with 0 links.
+    """
+    linked, copies = linked_representatives(docs, id_col=id_col, **options)
+    linked = cut(linked)
+    sizes = copies.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+    ends = linked.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(linked.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    around = ends.join(sizes.select(F.col("rep").alias("v"), "size"), "v").groupBy(F.col("u").alias("rep")).agg(F.sum("size").alias("near"))
+    classes = near_duplicate_classes(linked.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")), sizes, id_col="rep")
+    per_rep = sizes.join(around, "rep", "left").join(classes.select(F.col("id").alias("rep"), "class_id"), "rep")
+    per_rep = per_rep.select("rep", "class_id", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    every = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
+    joined = every.join(copies, "id", "left").join(per_rep, "rep", "left")
+    return joined.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+
+
 def near_duplicate_classes(pairs: DataFrame, docs: DataFrame, *, id_col: str = "id", max_rounds: int = 60) -> DataFrame:
     """One row per document: (id, class_id, links). class_id is the least id that links reach.
 

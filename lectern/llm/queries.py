@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.llm.contamination import leaked_passages
 from lectern.llm.encoding import restore_encoding
 from lectern.llm.names import name_classes, spelling_pairs
-from lectern.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
+from lectern.llm.near_duplicates import near_duplicate_pairs, near_duplicate_summary
 from lectern.llm.packing import pack
 from lectern.llm.pairs import pair_defects
 from lectern.llm.splitting import cut_kinds, split_oversized
@@ -56,8 +56,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     """One row per transcript: its class of near-duplicates and the number of its links."""
     docs = table(spark, d, "transcripts").select("id", "text")
-    pairs = near_duplicate_pairs(docs, shingle=3, threshold=0.6, min_words=20, ids_unique=True)
-    return near_duplicate_classes(pairs, docs)
+    return near_duplicate_summary(docs, shingle=3, threshold=0.6, min_words=20, ids_unique=True)
 
 
 def p6_token_budget(spark: SparkSession, d: str) -> DataFrame:

@@ -56,6 +56,19 @@ def test_classes(spark):
     assert got == {1: (1, 1), 2: (1, 2), 3: (1, 2), 4: (1, 1), 5: (5, 0), 8: (8, 1), 9: (8, 1)}
 
 
+def test_summary_agrees_with_pairs(spark):
+    df = spark.createDataFrame(corpus(2), "id long, text string")
+    options = {"shingle": 3, "threshold": 0.6, "min_words": 20}
+    pairs = [(r["id_a"], r["id_b"]) for r in N.near_duplicate_pairs(df, **options).collect()]
+    links = {}
+    for a, b in pairs:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    got = {r["id"]: (r["class_id"], r["links"]) for r in N.near_duplicate_summary(df, **options).collect()}
+    assert set(got) == {i for i, _ in corpus(2) if i is not None}
+    assert {i: n for i, (_, n) in got.items() if n} == links
+    assert all(got[a][0] == got[b][0] <= a for a, b in pairs)
+
+
 def test_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(40)], "id_a long, id_b long")
     docs = spark.range(41)
