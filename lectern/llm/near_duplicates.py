@@ -7,7 +7,7 @@ made over all texts. Rare shingles of a text's prefix are indexed alone; from th
 The complete family of combinations is not affordable on templated text (README, problem 5), so the combinations are
 drawn by ``draws`` independent orders: one draw takes for each of k orders the first shingle of the text. Two texts with a
 Jaccard similarity J share a given combination with probability J**k, so a pair is missed with probability of
-about (1 - J**k)**draws, and less where it shares indexed rare shingles.
+about (1 - J**k)**draws, and hardly ever where it shares indexed rare shingles, as edited copies do.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.sketch import gather
-from lectern.llm.textutil import U64, mix, shingle_set, words
+from lectern.llm.textutil import U64, mix, shingle_runs, shingle_set, words
 from lectern.session import cut
 
 SEED = 20240229
@@ -45,14 +45,17 @@ def _meets(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
 
 
 def frequency_sketch(docs: DataFrame, text: str, shingle: int, bits: int) -> np.ndarray:
-    """Texts that hold a shingle, by 2**bits hash buckets over all texts: a fixed size, never under the true count."""
+    """Occurrences of shingles, by 2**bits hash buckets over all texts: a fixed size, never under the true count."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
-            held = [shingle_set(words(v), shingle) >> U64(64 - bits) for v in batch.column(0).to_pylist() if v]
-            if held:
-                total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
+            acc, bounds = shingle_runs([words(v) for v in batch.column(0).to_pylist()], shingle)
+            inside = np.zeros(len(acc) + 1, dtype=np.int64)  # windows over the border of two texts are none
+            np.add.at(inside, bounds[:, 0], 1)
+            np.add.at(inside, bounds[:, 1], -1)
+            real = acc[np.cumsum(inside[:-1]) > 0]
+            total += np.bincount((real >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
         return total
 
     return gather(docs.select(text), fill, 1 << bits)
@@ -70,6 +73,7 @@ def linked_representatives(
     orders: int = 128,
     draws: int = 72,
     rare: int = 0,
+    rare_shared: int = 4,
     sketch_bits: int = 20,
     ids_unique: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +82,8 @@ def linked_representatives(
     Null texts and texts under ``min_words`` words are in neither. Rows whose id is null are left out. Texts with the
     same shingle set have one representative, their least id; only representatives are searched. Ids delivered
     twice count once (the least text). Columns other than the two named are ignored. ``rare``: shingles seen at
-    most so often (by the sketch) are also indexed alone when they lie in the prefix; 0 leaves them to the combinations.
+    most so often (by the sketch, so their groups are no larger) are also indexed alone
+    when they lie in the prefix; a pair needs ``rare_shared`` of them in common, or one combination.
     ``ids_unique`` states that the id is a key, which saves a shuffle.
     """
     spark = docs.sparkSession
@@ -94,11 +99,13 @@ def linked_representatives(
         salt = mix(np.arange(1, draws + 1, dtype=np.uint64))
         for batch in batches:
             ids, sets, sigs = [], [], []
-            for rid, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = words(value)
-                if len(tokens) < max(1, min_words):
+            tokens = [words(v) for v in batch.column(1).to_pylist()]
+            acc_all, bounds = shingle_runs(tokens, shingle)
+            for at_text, rid in enumerate(batch.column(0).to_pylist()):
+                if len(tokens[at_text]) < max(1, min_words):
                     continue
-                s = shingle_set(tokens, shingle)
+                first, past = bounds[at_text]
+                s = np.unique(acc_all[first:past]) if past > first else shingle_set(tokens[at_text], shingle)
                 ids.append(rid)
                 sets.append(int(mix(np.bitwise_xor.reduce(mix(s + U64(len(s)))).reshape(1)).view(np.int64)[0]))
                 low = np.empty(len(mult), dtype=np.uint64)
@@ -108,12 +115,15 @@ def linked_representatives(
                 acc = salt.copy()
                 for j in range(picks.shape[1]):
                     acc = mix(acc * U64(0x9E3779B97F4A7C15) + low[picks[:, j]])
+                single: np.ndarray = acc[:0]
                 if rare:
                     freq = sketch.value[(s >> U64(64 - sketch_bits)).astype(np.int64)]
                     order = np.lexsort((s, freq))
                     prefix = order[: len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1]
-                    acc = np.concatenate([acc, s[prefix][freq[prefix] <= rare]])
-                sigs.append(acc.view(np.int64))
+                    single = s[prefix][(freq[prefix] > 1) & (freq[prefix] <= rare)]
+                # the lowest bit tells single shingles (1) from combinations (0)
+                both = np.concatenate([acc & ~U64(1), single | U64(1)])
+                sigs.append(both.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sets, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["id", "same", "sigs"]
             )
@@ -123,7 +133,8 @@ def linked_representatives(
     reps = signed.join(members, (signed["same"] == members["same"]) & (signed["id"] == members["rep"]), "left_semi")
     keyed = reps.select("id", F.explode("sigs").alias("sig"))
     left, right = keyed.select(F.col("id").alias("a"), "sig"), keyed.select(F.col("id").alias("b"), "sig")
-    pairs = left.join(right, "sig").where("a < b").select("a", "b").distinct()
+    met = left.join(right, "sig").where("a < b").groupBy("a", "b").agg(F.count_if(F.expr("sig & 1L = 0")).alias("combined"), F.count(F.lit(1)).alias("n"))
+    pairs = met.where((F.col("combined") > 0) | (F.col("n") >= rare_shared)).select("a", "b")
     pairs = cut(pairs)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,7 @@ from lectern.llm.truncation import truncated_texts
 from lectern.tables import table
 
 CHUNK, OVERLAP, CONTAINER = 800, 200, 2048
+NEAR = {"shingle": 3, "threshold": 0.6, "min_words": 20, "rare": 4, "sketch_bits": 22, "draws": 48, "ids_unique": True}
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,14 +50,14 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = near_duplicate_pairs(table(spark, d, "transcripts").select("id", "text"), shingle=3, threshold=0.6, min_words=20, ids_unique=True)
+    pairs = near_duplicate_pairs(table(spark, d, "transcripts").select("id", "text"), **NEAR)
     return pairs.select("id_a", "id_b")
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     """One row per transcript: its class of near-duplicates and the number of its links."""
     docs = table(spark, d, "transcripts").select("id", "text")
-    return near_duplicate_summary(docs, shingle=3, threshold=0.6, min_words=20, ids_unique=True)
+    return near_duplicate_summary(docs, **NEAR)
 
 
 def p6_token_budget(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -67,3 +68,18 @@ def shingle_set(tokens: list[str], size: int) -> np.ndarray:
     for k in range(size):
         acc = mix(acc * U64(0x9E3779B97F4A7C15) + h[k : k + n])
     return np.unique(acc)
+
+
+def shingle_runs(texts: list[list[str]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of many texts at once: (hashes, bounds); text i has hashes[bounds[i, 0]:bounds[i, 1]], repeats included.
+
+    The same hashes as ``shingle_set``; texts of fewer than ``size`` words have none here.
+    """
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    h = np.fromiter(map(_SEEN.__getitem__, chain.from_iterable(texts)), dtype=np.uint64, count=int(lengths.sum()))
+    acc = np.zeros(max(0, len(h) - size + 1), dtype=np.uint64)
+    for k in range(size):
+        acc = mix(acc * U64(0x9E3779B97F4A7C15) + h[k : k + len(acc)])
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    return acc, np.stack([starts, np.maximum(starts, ends - size + 1)], axis=1)

@@ -45,7 +45,7 @@ def test_pairs_against_brute_force(spark):
         want = brute(rows, size, threshold, least)
         assert want and found <= want
         assert len(found) >= 0.99 * len(want)
-    with_rare = {(r["id_a"], r["id_b"]) for r in N.near_duplicate_pairs(df, shingle=3, threshold=0.6, min_words=20, rare=4, draws=4).collect()}
+    with_rare = {(r["id_a"], r["id_b"]) for r in N.near_duplicate_pairs(df, shingle=3, threshold=0.6, min_words=20, rare=4, rare_shared=1, draws=4).collect()}
     assert with_rare <= brute(rows, 3, 0.6, 20) and len(with_rare) >= 0.9 * len(brute(rows, 3, 0.6, 20))
 
 
