@@ -59,7 +59,7 @@ def chunks(value: Text, size: int = 800, overlap: int = 200) -> Column:
     last = F.greatest(F.ceil((F.length(text) - overlap) / F.lit(step)), F.lit(1)).cast("int") - 1
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.substring(text, i * step + 1, F.lit(size))))
     kept = F.when(last == 0, F.array(text)).otherwise(F.filter(cut, lambda c: c != ""))
-    return F.transform(kept, lambda c, i: F.struct(i.alias("ordinal"), c.alias("chunk")))
+    return F.when(text.isNotNull(), F.transform(kept, lambda c, i: F.struct(i.alias("ordinal"), c.alias("chunk"))))
 
 
 def video_id(url: Text, strict: bool = False) -> Column:
