@@ -47,6 +47,9 @@ KINDS = {"person": {"person", "people", "speaker"}, "organization": {"organizati
 
 WORDS = re.compile(r"[^\W_]+")
 
+#: One slip of a token is expected in less than one of so many of its forms.
+SLIPS = 20
+
 
 # Rows of a keyboard with their offsets, and letters written for each other by sound.
 KEYS = (("qwertyuiop", 0.0), ("asdfghjkl", 0.25), ("zxcvbnm", 0.75))
@@ -176,7 +179,8 @@ def _token_cost(a: str, b: str, fa: int, fb: int, kind: str, settled: int) -> tu
         return (1.0, 0, True) if kind == "person" and (long[0] == short or any(f[0] == short for f in FORMAL.get(long, ()))) else None
     if kind == "person" and (a in FORMAL.get(b, ()) or b in FORMAL.get(a, ()) or FORMAL.get(a, set()) & FORMAL.get(b, set())):
         return 0.5, 0, True
-    if min(fa, fb) < settled:  # two settled tokens are two names, however close
+    # two settled tokens are two names, however close; what counts as settled grows with the other token, as its slips do
+    if min(fa, fb) < settled + max(fa, fb) / SLIPS:
         most = 2 if len(short) >= 7 else 1 if len(short) >= 3 else 0
         d = osa(a, b, most)
         if d <= most:

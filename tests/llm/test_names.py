@@ -104,3 +104,20 @@ def test_banded_edits_against_full():
     for _ in range(3000):
         a, b = ("".join(rng.choice("abqs") for _ in range(rng.randint(0, 7))) for _ in "xy")
         assert N.osa(a, b, 2) == min(full(a, b), 3)
+
+
+def test_slips_of_frequent_tokens():
+    # the same slip of a frequent given name with several surnames stays a slip, at any size of the table
+    for times in (1, 10, 100):
+        assert N.align(["pateick", "motamovir"], ["patrick", "motamovir"], [5 * times, 4], [260 * times, 4], False, False, "person") == (True, False)
+        assert N.align(["lars", "motamovir"], ["lara", "motamovir"], [9 * times, 4], [34 * times, 4], False, False, "person") == (False, False)
+
+
+def test_slips_of_frequent_tokens_in_a_table(spark):
+    import random
+
+    rng = random.Random(4)
+    surnames = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(5)) for _ in range(63)]
+    groups = [[f"Patrick {s.title()}", f"Pateick {s.title()}"] if i < 4 else [f"Patrick {s.title()}"] for i, s in enumerate(surnames)]
+    found = {(r["name_a"], r["name_b"]) for r in N.spelling_pairs(N.name_classes(table(spark, groups))).collect()}
+    assert found == {tuple(sorted(g)) for g in groups[:4]}
