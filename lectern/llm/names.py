@@ -138,9 +138,20 @@ def parse(name: str, kind: str) -> tuple[list[str], str, bool]:
     return tokens, "".join(tokens), acronym
 
 
-def index_keys(tokens: list[str], freq: list[int], cat: str, acronym: bool, kind: str, hot: int) -> set[str]:
-    """Keys under which a form is looked for; two forms of one name share at least one."""
-    keys = {"c:" + cat}
+def _ends(word: str) -> set[str]:
+    """Beginnings and ends of a word of which one edit leaves at least one as it is."""
+    if len(word) <= 4:
+        return deletes(word, 1)
+    return {e for k in (2, 3) if (k == 2 and len(word) <= 6) or (k == 3 and len(word) >= 6) for e in ("^" + word[:k], word[-k:] + "$")} | (deletes(word, 1) if len(word) == 5 else set())
+
+
+def index_keys(tokens: list[str], freq: list[int], cat: str, acronym: bool, kind: str, hot: int) -> tuple[set[str], set[str]]:
+    """Keys under which a form is looked for; two forms of one name share at least one.
+
+    The second set holds the keys of hot tokens with a mere initial of the other, under which many forms stand: these are
+    met only from forms with an initial, an abbreviation or a single word (``seeks``), never by each other.
+    """
+    keys, wide = {"c:" + cat}, set()
     n = len(tokens)
     if n == 2:
         keys.add("c:" + tokens[1] + tokens[0])
@@ -151,23 +162,42 @@ def index_keys(tokens: list[str], freq: list[int], cat: str, acronym: bool, kind
             keys.add("i:" + "".join(sorted(cat)))
         elif len(cat) >= 4:
             keys.add("p:" + cat)
-        return keys
+        return keys, wide
     if kind == "software":
         keys |= {"w:" + v for v in deletes(cat, 1)}
     if n == 2:
         picked = [i for i in (0, 1) if len(tokens[i]) >= 4 and freq[i] <= hot] or [i for i in (0, 1) if len(tokens[i]) >= 3]
-        for i in picked:
-            other = tokens[1 - i]
-            initials = {other[0]} | {f[0] for f in FORMAL.get(other, ())}
-            most = 0 if freq[i] > hot else 2 if len(tokens[i]) >= 7 else 1
-            keys |= {f"s:{v}|{c}" for v in deletes(tokens[i], most) for c in initials}
+        for i in (0, 1):
+            token, other = tokens[i], tokens[1 - i]
+            if len(token) < 3:
+                continue
+            most = 2 if len(token) >= 7 else 1
+            gone = deletes(token, most)
+            by_initial = {f"s:{v}|{c}" for v in gone for c in {other[0]} | {f[0] for f in FORMAL.get(other, ())}}
+            if i in picked and freq[i] <= hot:
+                keys |= by_initial
+            else:
+                wide |= by_initial
+            # whatever is hot: edits of this token beside the other one whole (or its full name), and one edit in both
+            keys |= {f"d:{v}|{o}" for v in gone for o in {other} | FORMAL.get(other, set())}
+            if len(other) >= 3:
+                keys |= {f"e:{v}|{e}" for v in deletes(token, 1) for e in _ends(other)}
     else:
         keys.add("i:" + "".join(sorted(t[0] for t in tokens)))
         if n <= 6:
             keys |= {"t:" + "|".join(sorted(t[:4] for t in three)) for three in combinations(tokens, 3)}
     if kind != "person":
-        keys |= {"p:" + t for t, f in zip(tokens, freq) if f <= hot and len(t) >= 5}
-    return keys
+        for t, f in zip(tokens, freq):
+            if len(t) >= 5:
+                (keys if f <= hot else wide).add("p:" + t)
+    return keys, wide - keys
+
+
+def seeks(tokens: list[str], kind: str) -> bool:
+    """Whether a form may be short for others: an initial, an abbreviation or a single word."""
+    if kind == "person":
+        return len(tokens) == 2 and min(map(len, tokens)) == 1
+    return len(tokens) == 1 or (len(tokens) == 2 and min(map(len, tokens)) <= 5)
 
 
 def _token_cost(a: str, b: str, fa: int, fb: int, kind: str, settled: int) -> tuple[float, int, bool] | None:
@@ -254,7 +284,8 @@ def name_classes(
 
     kind is person, organization, software or other (places, unknown types); classes span names of one kind. Null and
     blank names have no row; null, empty and foreign aliases are no evidence. Rows delivered twice change nothing.
-    An empty table gives no rows. ``hot``: tokens in more forms than this are not indexed by themselves.
+    An empty table gives no rows. ``hot``: tokens in more forms than this are indexed beside the other token only, and by
+    initials of the other only for forms that have no more than these.
     """
     rows = entities.select(F.col(name_col).alias("name"), F.col(type_col).alias("type"), F.col(alias_col).alias("aliases")).where(F.trim("name") != "")
     tally = rows.select("name", _kind_of(rows).alias("kind")).groupBy("name").agg(
@@ -297,15 +328,24 @@ def name_classes(
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f, kinds, toks, acr, fr = (batch.column(i).to_pylist() for i in range(5))
-            out_f, out_k = [], []
+            out_f, out_k, out_w, out_s = [], [], [], []
             for form, kind, tokens, acronym, freq in zip(f, kinds, toks, acr, fr, strict=True):
-                for key in index_keys(tokens, freq, "".join(tokens), acronym, kind, hot):
-                    out_f.append(form)
-                    out_k.append(f"{kind}:{key}")
-            yield pa.RecordBatch.from_arrays([pa.array(out_f, pa.int64()), pa.array(out_k, pa.string())], ["form", "key"])
-
-    keyed = forms.select("form", "kind", "tokens", "acronym", "freq").mapInArrow(keys_of, "form long, key string").select("form", F.xxhash64("key").alias("key"))
-    pairs = keyed.withColumnRenamed("form", "a").join(keyed.withColumnRenamed("form", "b"), "key").where("a < b").select("a", "b").distinct()
+                for wide, keys in enumerate(index_keys(tokens, freq, "".join(tokens), acronym, kind, hot)):
+                    out_f += [form] * len(keys)
+                    out_k += [f"{kind}:{key}" for key in keys]
+                    out_w += [bool(wide)] * len(keys)
+                    out_s += [seeks(tokens, kind)] * len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((out_f, out_k, out_w, out_s), (pa.int64(), pa.string(), pa.bool_(), pa.bool_()))], ["form", "key", "wide", "seeks"])
+
+    indexed = forms.select("form", "kind", "tokens", "acronym", "freq").mapInArrow(keys_of, "form long, key string, wide boolean, seeks boolean")
+    indexed = cut(indexed.select("form", F.xxhash64("key").alias("key"), "wide", "seeks"))
+    keyed = indexed.where("not wide").select("form", "key")
+    met = keyed.withColumnRenamed("form", "a").join(keyed.withColumnRenamed("form", "b"), "key").where("a < b").select("a", "b")
+    # keys that stand for many forms: only from a short form to the others, or between a short form's own and the narrow ones
+    seeking = indexed.where("seeks").select(F.col("form").alias("a"), "key", F.col("wide").alias("wa"))
+    sought = indexed.select(F.col("form").alias("b"), "key", F.col("wide").alias("wb"))
+    asked = seeking.join(sought, "key").where("a <> b and (wa or wb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = met.unionByName(asked).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -121,3 +121,28 @@ def test_slips_of_frequent_tokens_in_a_table(spark):
     groups = [[f"Patrick {s.title()}", f"Pateick {s.title()}"] if i < 4 else [f"Patrick {s.title()}"] for i, s in enumerate(surnames)]
     found = {(r["name_a"], r["name_b"]) for r in N.spelling_pairs(N.name_classes(table(spark, groups))).collect()}
     assert found == {tuple(sorted(g)) for g in groups[:4]}
+
+
+def test_ends_outlive_an_edit():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        w = "".join(rng.choice("abcde") for _ in range(rng.randint(3, 12)))
+        i = rng.randrange(len(w))
+        v = rng.choice([w[:i] + w[i + 1 :], w[:i] + rng.choice("abcde") + w[i:], w[:i] + rng.choice("abcde") + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]])
+        if len(v) >= 3:
+            assert N._ends(w) & N._ends(v), (w, v)
+
+
+def test_names_of_frequent_tokens_only(spark):
+    # maria and schmidt are hot here, and slips and initials of both are found all the same
+    import random
+
+    rng = random.Random(6)
+    other = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).title()
+    groups = [["Maria Schmidt", "Maria Schmdit", "Maria Schmit", "Maria Chmidt", "Aria Schmidt", "Mraia Schmdt", "M. Schmdit"]]
+    groups += [[f"Maria {other()}"] for _ in range(45)] + [[f"{other()} Schmidt"] for _ in range(45)]
+    groups = [g for g in groups if g[0] == "Maria Schmidt" or not (g[0].startswith("M") and g[0].endswith("Schmidt"))]
+    found = {(r["name_a"], r["name_b"]) for r in N.spelling_pairs(N.name_classes(table(spark, groups))).collect()}
+    assert found == {(a, b) for a in groups[0] for b in groups[0] if a < b}
