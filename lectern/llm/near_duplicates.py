@@ -1,13 +1,9 @@
-"""Near-duplicate records with small edits: k-token combinations from frequency-ordered prefixes, then exact checks.
+"""Near-duplicate records with small edits: an exact join on frequency-ordered prefixes, then exact checks.
 
-Every text becomes the set of its shingles. Shingles are ordered rare first by a fixed-size frequency sketch
-made over all texts. Rare shingles of a text's prefix are indexed alone; from the frequent ones, combinations of
-``k`` shingles are indexed. All candidates are verified exactly on the whole texts.
-
-The complete family of combinations is not affordable on templated text (README, problem 5), so the combinations are
-drawn by ``draws`` independent orders: one draw takes for each of k orders the first shingle of the text. Two texts with a
-Jaccard similarity J share a given combination with probability J**k, so a pair is missed with probability of
-about (1 - J**k)**draws, and hardly ever where it shares indexed rare shingles, as edited copies do.
+Every text becomes the set of its shingles, ordered rare first by a fixed-size frequency sketch made over all texts (any
+order common to all texts is exact; rare first is cheap). Two texts that reach the threshold share shingles within the
+prefixes of that order, and the nearer their sizes, the more of them. Texts are blocked by size; each pair of blocks whose
+sizes can meet is joined by itself: shared prefix shingles are counted, and pairs with enough of them are compared whole.
 """
 
 from __future__ import annotations
@@ -23,15 +19,8 @@ from lectern.llm.sketch import gather
 from lectern.llm.textutil import U64, mix, shingle_runs, shingle_set, words
 from lectern.session import cut
 
-SEED = 20240229
-
-
-def _plan(orders: int, k: int, draws: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    mult = rng.integers(1, 2**63, size=orders, dtype=np.uint64) * U64(2) + U64(1)
-    add = rng.integers(0, 2**63, size=orders, dtype=np.uint64)
-    picks = np.stack([rng.permutation(orders)[:k] for _ in range(draws)])
-    return mult, add, picks
+#: Texts in a block: bounds what one task holds.
+BLOCK = 16384
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -44,6 +33,49 @@ def _meets(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return shared + 1e-9 >= threshold * (len(a) + len(b) - shared) and shared > 0
 
 
+def _join_sets(ids: np.ndarray, probes: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[list, list, list]:
+    """Links (a, b, jaccard) of sets in one common order: probes against the others, or against each other where all are probes.
+
+    Sets a and b that reach the threshold share o = t / (1 + t) * (a + b) elements; at most max(a - p, b - p') of those
+    lie outside their prefixes p, p', so at least the rest must be shared within them.
+    """
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    order = np.lexsort((ids, size))
+    ids, probes, size, sets = ids[order], probes[order], size[order], [sets[i] for i in order]
+    within = bool(probes.all())
+    prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), prefix)
+    _, token = np.unique(np.concatenate([s[:p] for s, p in zip(sets, prefix, strict=True)]), return_inverse=True)
+    past = np.cumsum(prefix)
+    held = np.arange(len(owner)) if within else np.flatnonzero(~probes[owner])
+    held = held[np.argsort(token[held], kind="stable")]
+    starts = np.searchsorted(token[held], np.arange(token.max() + 2))
+    posting = owner[held]
+    out: tuple[list, list, list] = ([], [], [])
+    for r in np.flatnonzero(probes):
+        low = np.searchsorted(size, np.ceil(threshold * size[r] - 1e-9))
+        high = r if within else np.searchsorted(size, np.floor(size[r] / threshold + 1e-9), "right")
+        met = []
+        for t in token[past[r] - prefix[r] : past[r]]:
+            run = posting[starts[t] : starts[t + 1]]
+            if len(run):
+                met.append(run[np.searchsorted(run, low) : np.searchsorted(run, high)])
+        if not met:
+            continue
+        count = np.bincount(np.concatenate(met) - low) if sum(map(len, met)) else np.zeros(0, dtype=np.int64)
+        near = np.flatnonzero(count)
+        other = near + low
+        need = np.ceil(threshold / (1 + threshold) * (size[r] + size[other]) - 1e-9) - np.maximum(size[r] - prefix[r], size[other] - prefix[other])
+        mine = np.sort(sets[r])
+        for q in other[count[near] >= need]:
+            theirs = np.sort(sets[q])
+            if _meets(mine, theirs, threshold):
+                out[0].append(min(ids[r], ids[q]))
+                out[1].append(max(ids[r], ids[q]))
+                out[2].append(jaccard(mine, theirs))
+    return out
+
+
 def frequency_sketch(docs: DataFrame, text: str, shingle: int, bits: int) -> np.ndarray:
     """Occurrences of shingles, by 2**bits hash buckets over all texts: a fixed size, never under the true count."""
 
@@ -76,29 +108,27 @@ def linked_representatives(
     rare_shared: int = 4,
     sketch_bits: int = 20,
     ids_unique: bool = False,
+    block: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """Links between texts and the membership of copies: (a, b, jaccard) with a < b, and (id, rep).
 
     Null texts and texts under ``min_words`` words are in neither. Rows whose id is null are left out. Texts with the
     same shingle set have one representative, their least id; only representatives are searched. Ids delivered
-    twice count once (the least text). Columns other than the two named are ignored. ``rare``: shingles seen at
-    most so often (by the sketch, so their groups are no larger) are also indexed alone
-    when they lie in the prefix; a pair needs ``rare_shared`` of them in common, or one combination.
-    ``ids_unique`` states that the id is a key, which saves a shuffle.
+    twice count once (the least text). Columns other than the two named are ignored. The links are complete. ``rare``: if
+    not 0, shingles are ordered by the sketch of 2**``sketch_bits`` counters, else by their hashes alone, which finds the same.
+    ``block``: texts in a block. ``ids_unique`` states that the id is a key, which saves a shuffle. ``k``, ``orders``,
+    ``draws`` and ``rare_shared`` belonged to a sampled search and have no effect.
     """
     spark = docs.sparkSession
     base = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     if not ids_unique:
         base = base.groupBy("id").agg(F.min("text").alias("text"))
-    mult, add, picks = _plan(orders, k, draws)
     if rare:
         sketch = spark.sparkContext.broadcast(frequency_sketch(base, "text", shingle, sketch_bits))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, a = mult[:, None], add[:, None]
-        salt = mix(np.arange(1, draws + 1, dtype=np.uint64))
         for batch in batches:
-            ids, sets, sigs = [], [], []
+            ids, sets, sizes, ordered = [], [], [], []
             tokens = [words(v) for v in batch.column(1).to_pylist()]
             acc_all, bounds = shingle_runs(tokens, shingle)
             for at_text, rid in enumerate(batch.column(0).to_pylist()):
@@ -108,58 +138,42 @@ def linked_representatives(
                 s = np.unique(acc_all[first:past]) if past > first else shingle_set(tokens[at_text], shingle)
                 ids.append(rid)
                 sets.append(int(mix(np.bitwise_xor.reduce(mix(s + U64(len(s)))).reshape(1)).view(np.int64)[0]))
-                low = np.empty(len(mult), dtype=np.uint64)
-                for at in range(0, len(mult), 32):
-                    low[at : at + 32] = (s[None, :] * m[at : at + 32] + a[at : at + 32]).min(axis=1)
-                low = mix(low)
-                acc = salt.copy()
-                for j in range(picks.shape[1]):
-                    acc = mix(acc * U64(0x9E3779B97F4A7C15) + low[picks[:, j]])
-                single: np.ndarray = acc[:0]
                 if rare:
-                    freq = sketch.value[(s >> U64(64 - sketch_bits)).astype(np.int64)]
-                    order = np.lexsort((s, freq))
-                    prefix = order[: len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1]
-                    single = s[prefix][(freq[prefix] > 1) & (freq[prefix] <= rare)]
-                # the lowest bit tells single shingles (1) from combinations (0)
-                both = np.concatenate([acc & ~U64(1), single | U64(1)])
-                sigs.append(both.view(np.int64))
+                    s = s[np.lexsort((s, sketch.value[(s >> U64(64 - sketch_bits)).astype(np.int64)]))]
+                sizes.append(len(s))
+                ordered.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sets, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["id", "same", "sigs"]
+                [pa.array(ids, pa.int64()), pa.array(sets, pa.int64()), pa.array(sizes, pa.int32()), pa.array(ordered, pa.list_(pa.int64()))], ["id", "same", "size", "shingles"]
             )
 
-    signed = cut(base.mapInArrow(sign, "id long, same long, sigs array<long>"))
-    members = signed.groupBy("same").agg(F.min("id").alias("rep"))
-    reps = signed.join(members, (signed["same"] == members["same"]) & (signed["id"] == members["rep"]), "left_semi")
-    keyed = reps.select("id", F.explode("sigs").alias("sig"))
-    left, right = keyed.select(F.col("id").alias("a"), "sig"), keyed.select(F.col("id").alias("b"), "sig")
-    met = left.join(right, "sig").where("a < b").groupBy("a", "b").agg(F.count_if(F.expr("sig & 1L = 0")).alias("combined"), F.count(F.lit(1)).alias("n"))
-    pairs = met.where((F.col("combined") > 0) | (F.col("n") >= rare_shared)).select("a", "b")
-    pairs = cut(pairs)
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, np.ndarray] | None = None
-        for batch in batches:
-            out_a, out_b, out_j = [], [], []
-            cols = [batch.column(i).to_pylist() for i in range(4)]
-            for ia, ib, ta, tb in zip(*cols, strict=True):
-                if last is None or last[0] != ia:
-                    last = (ia, shingle_set(words(ta), shingle))
-                sb = shingle_set(words(tb), shingle)
-                if _meets(last[1], sb, threshold):
-                    out_a.append(ia)
-                    out_b.append(ib)
-                    out_j.append(jaccard(last[1], sb))
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_j, pa.float64())], ["a", "b", "jaccard"])
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = base.join(wanted, "id", "left_semi")
-    full = (
-        pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
-    linked = full.mapInArrow(verify, "a long, b long, jaccard double")
+    signed = cut(base.mapInArrow(sign, "id long, same long, size int, shingles array<long>"))
+    members = signed.groupBy("same").agg(F.min("id").alias("rep"), F.min("size").alias("size"))
+    # blocks by size: the histogram of sizes gives each text its place, ties spread by a hash of the id
+    histogram = sorted((r["size"], r["n"]) for r in members.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect())
+    before = np.concatenate([[0], np.cumsum([n for _, n in histogram])]).astype(int)
+    spans: dict[int, list[int]] = {}
+    for (size, n), at in zip(histogram, before):
+        for number in range(at // block, (at + n - 1) // block + 1):
+            low = spans.setdefault(number, [size, size])
+            low[1] = size
+    joins = [(i, j) for j in spans for i in spans if i <= j and spans[i][1] + 1e-9 >= threshold * spans[j][0]]
+    wanted = [(i, n, 0) for n, (i, j) in enumerate(joins) if i < j] + [(j, n, 1) for n, (_, j) in enumerate(joins)]
+    places = spark.createDataFrame([(size, int(at), n) for (size, n), at in zip(histogram, before)], "size int, at long, n long")
+    tasks = spark.createDataFrame(wanted, "block long, task int, probes int")
+    share = F.pmod(F.xxhash64("rep"), F.col("n"))
+    placed = members.join(F.broadcast(places), "size").select(F.col("rep").alias("id"), F.floor((F.col("at") + share) / block).alias("block"))
+    reps = signed.select("id", "shingles").join(placed, "id").join(F.broadcast(tasks), "block").select("task", "probes", "id", "shingles")
+
+    def join_blocks(group: pa.Table) -> pa.Table:
+        found = _join_sets(
+            np.concatenate([c.to_numpy() for c in group.column("id").chunks]),
+            np.concatenate([c.to_numpy() for c in group.column("probes").chunks]) == 1,
+            [v for c in group.column("shingles").chunks for v in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1])],
+            threshold,
+        )
+        return pa.table([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "jaccard"])
+
+    linked = reps.repartition(max(1, len(joins)), "task").groupBy("task").applyInArrow(join_blocks, "a long, b long, jaccard double")
     copies = signed.select("id", "same").join(members, "same").select("id", "rep")
     return linked, copies
 
