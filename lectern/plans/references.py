@@ -31,8 +31,8 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 def p3_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Orphans per table and month, direct and inherited.
 
-    Graph: transcripts refer to videos; questions, entities and queued tasks are made from a video's transcripts, so they
-    refer to the video and to its transcripts, and inherit when all of those are orphans.
+    Graph, as in the SQL: transcripts refer to videos; questions, entities and queued tasks are made from a video's transcripts, so
+    they refer to those alone and inherit when all of them are orphans, also where the video itself is missing.
     """
     names = ("videos", "transcripts", "synthetic_questions", "entities", "processing_queue")
     tables = {n: table(spark, d, n) for n in names}
