@@ -1,4 +1,4 @@
-"""Text cut off by field limits: length hazards against their neighbours, then the endings at significant lengths."""
+"""Text cut off by field limits: text counts of lengths against their neighbours, then the endings at significant lengths."""
 
 from __future__ import annotations
 
@@ -35,18 +35,19 @@ def _poisson_tail(k: int, mean: float) -> float:
 def length_spikes(lengths: DataFrame, *, length_col: str = "length", span: int = 40, rate: float = 0.01, least: int = 4) -> DataFrame:
     """Lengths at which texts end significantly more often than at the lengths around: (length, texts, expected, p).
 
-    The hazard of a length (texts ending there among those at least so long) is held against the pooled hazard of the
-    lengths within ``span``, without its next neighbours. Benjamini-Hochberg keeps the false discoveries under ``rate``. Null
+    The texts of a length are held against the mean of the lengths within ``span``, without its next neighbours and only from
+    the shortest length to the longest, so no empty lengths beyond these lower it. Benjamini-Hochberg keeps the false discoveries under ``rate``. Null
     lengths are left out; an empty input has no spikes. Windows run over the histogram: one row per length, so
     their size is that of the longest text, not of the corpus.
     """
     histogram = lengths.where(F.col(length_col).isNotNull()).groupBy(F.col(length_col).cast("int").alias("length")).agg(F.count(F.lit(1)).alias("texts"))
     by = Window.partitionBy(F.lit(0)).orderBy("length")
-    at_risk = F.sum("texts").over(by.rowsBetween(0, Window.unboundedFollowing))
     around = lambda what, far: F.coalesce(F.sum(what).over(by.rangeBetween(-far, far)), F.lit(0))
-    hazard = histogram.withColumn("risk", at_risk)
-    hazard = hazard.withColumn("near_n", around("texts", span) - around("texts", 2)).withColumn("width", (F.lit(2.0 * span + 1) - 5))
-    hazard = hazard.withColumn("expected", F.greatest(F.col("near_n") / F.col("width"), F.lit(0.05)))
+    every = Window.partitionBy(F.lit(0))
+    ends = histogram.withColumn("shortest", F.min("length").over(every)).withColumn("longest", F.max("length").over(every))
+    within = lambda far: F.least(F.col("length") + far, F.col("longest")) - F.greatest(F.col("length") - far, F.col("shortest")) + 1
+    near = ends.withColumn("near_n", around("texts", span) - around("texts", 2)).withColumn("width", within(span) - within(2))
+    near = near.withColumn("expected", F.greatest(F.coalesce(F.col("near_n") / F.nullif(F.col("width"), F.lit(0)), F.lit(0.0)), F.lit(0.05)))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,7 +55,7 @@ def length_spikes(lengths: DataFrame, *, length_col: str = "length", span: int =
             p = [_poisson_tail(k, m) for k, m in zip(n, mean, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], ["length", "texts", "expected", "p"])
 
-    tested = hazard.select("length", "texts", "expected").mapInArrow(test, "length int, texts long, expected double, p double")
+    tested = near.select("length", "texts", "expected").mapInArrow(test, "length int, texts long, expected double, p double")
     ranked = tested.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("p", "length"))).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
     ranked = ranked.withColumn("passes", F.col("p") <= F.lit(rate) * F.col("rank") / F.col("all"))
     bound = ranked.withColumn("bound", F.max(F.when(F.col("passes"), F.col("p"))).over(Window.partitionBy(F.lit(0))))

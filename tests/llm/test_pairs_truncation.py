@@ -59,6 +59,15 @@ def test_spikes(spark):
     assert truncation.length_spikes(flat).count() <= 1
 
 
+def test_no_spikes_at_the_ends(spark):
+    # as many texts of each length from 700 to 900: none is a spike, the first and the last ones neither
+    df = spark.range(0, 20_100).select((F.col("id") % 201 + 700).cast("int").alias("length"))
+    assert truncation.length_spikes(df).count() == 0
+    more = df.unionByName(spark.range(0, 100).select(F.lit(900).alias("length")))
+    assert [(r["length"], r["expected"]) for r in truncation.length_spikes(more).collect()] == [(900, 100.0)]
+    assert truncation.length_spikes(spark.range(0, 9).select(F.lit(5).alias("length"))).count() == 1
+
+
 @pytest.mark.parametrize("text,lang", [
     ("What happened to the loom in the cold store?", "en"), ("Was geschah mit dem Gewächshaus und wer war dabei?", "de"), ("Que s’est-il passé avec la ruche dans la réserve ?", "fr"),
     ("¿Qué ocurrió con el telar en el viejo almacén?", "es"), ("これはなんですか。", "ja"), ("12 34", None), (None, None), ("", None),
