@@ -8,6 +8,7 @@ abbreviations, nicknames, single words) join a class only if it is the one class
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations, permutations
@@ -184,6 +185,9 @@ def index_keys(tokens: list[str], freq: list[int], cat: str, acronym: bool, kind
                 keys |= {f"e:{v}|{e}" for v in deletes(token, 1) for e in _ends(other)}
     else:
         keys.add("i:" + "".join(sorted(t[0] for t in tokens)))
+        for i, t in enumerate(tokens):
+            others = "".join(sorted(o[0] for j, o in enumerate(tokens) if j != i))
+            keys |= {f"y:{v}|{others}" for v in deletes(t, 2 if len(t) >= 7 else 1 if len(t) >= 3 else 0)}
         if n <= 6:
             keys |= {"t:" + "|".join(sorted(t[:4] for t in three)) for three in combinations(tokens, 3)}
     if kind != "person":
@@ -225,6 +229,43 @@ def _subsequence(short: str, long: str) -> bool:
     return all(c in at for c in short)
 
 
+def _assign(costs: list[list[float | None]]) -> list[int] | None:
+    """Columns of the rows at the least total cost; None if some row cannot have any. Few tokens by trial, more by augmenting paths."""
+    n = len(costs)
+    if n <= 6:
+        fits = [p for p in permutations(range(n)) if all(costs[i][j] is not None for i, j in enumerate(p))]
+        return list(min(fits, key=lambda p: sum(costs[i][j] for i, j in enumerate(p)))) if fits else None
+    if not all(any(c is not None for c in row) for row in costs):
+        return None
+    far = 1e6
+    u, v, owner = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        owner[0], at, low, way, used = i, 0, [math.inf] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while owner[at]:
+            used[at], row, step, to = True, owner[at], math.inf, 0
+            for j in range(1, n + 1):
+                if not used[j]:
+                    c = costs[row - 1][j - 1]
+                    d = (far if c is None else c) - u[row] - v[j]
+                    if d < low[j]:
+                        low[j], way[j] = d, at
+                    if low[j] < step:
+                        step, to = low[j], j
+            for j in range(n + 1):
+                if used[j]:
+                    u[owner[j]] += step
+                    v[j] -= step
+                else:
+                    low[j] -= step
+            at = to
+        while at:
+            owner[at], at = owner[way[at]], way[at]
+    chosen = [0] * n
+    for j in range(1, n + 1):
+        chosen[owner[j] - 1] = j - 1
+    return None if any(costs[i][j] is None for i, j in enumerate(chosen)) else chosen
+
+
 def align(ta: list[str], tb: list[str], fa: list[int], fb: list[int], aa: bool, ab: bool, kind: str, settled: int = 3) -> tuple[bool, bool]:
     """Whether two forms can denote the same, and whether that link is weak."""
     ca, cb = "".join(ta), "".join(tb)
@@ -249,20 +290,11 @@ def align(ta: list[str], tb: list[str], fa: list[int], fb: list[int], aa: bool,
         if kind == "software" and ca[-2:] != cb[-2:] and osa(ca[:-2], cb[:-2], 0) == 0:
             return False, False
         return osa(ca, cb, most) <= most, False
-    if len(ta) > 6:
-        return sorted(ta) == sorted(tb), False
     costs = [[_token_cost(x, y, p, q, kind, settled) for y, q in zip(tb, fb)] for x, p in zip(ta, fa)]
-    best = None
-    for perm in permutations(range(len(tb))):
-        row = [costs[i][j] for i, j in enumerate(perm)]
-        if any(c is None for c in row):
-            continue
-        total = sum(c[0] for c in row)
-        if best is None or total < best[0]:
-            best = (total, sum(c[1] for c in row), [c[2] for c in row])
-    if best is None:
+    chosen = _assign([[None if c is None else c[0] for c in row] for row in costs])
+    if chosen is None:
         return False, False
-    _, edits, weak = best
+    edits, weak = sum(costs[i][j][1] for i, j in enumerate(chosen)), [costs[i][j][2] for i, j in enumerate(chosen)]
     longest = max(len(t) for t in ta)
     if edits > 2 or all(weak) or (longest < 4):
         return False, False

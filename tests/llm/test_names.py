@@ -146,3 +146,20 @@ def test_names_of_frequent_tokens_only(spark):
     groups = [g for g in groups if g[0] == "Maria Schmidt" or not (g[0].startswith("M") and g[0].endswith("Schmidt"))]
     found = {(r["name_a"], r["name_b"]) for r in N.spelling_pairs(N.name_classes(table(spark, groups))).collect()}
     assert found == {(a, b) for a in groups[0] for b in groups[0] if a < b}
+
+
+def test_long_names(spark):
+    groups = [
+        ["International Federated Council Bureau of Mountain Harbour Mapping and Weather Records", "International Federated Council Bureau of Mountian Harbour Mapping and Weather Records", "Int. Federated Council Bureau of Mountain Harbour Mapping and Weather Records"],
+        ["Western Harbour Mapping Council", "Estern Harbour Mapping Council"],
+    ]
+    found = {(r["name_a"], r["name_b"]) for r in N.spelling_pairs(N.name_classes(table(spark, groups))).collect()}
+    assert found == {(a, b) for g in groups for a in g for b in g if a < b}
+    import random
+
+    rng = random.Random(9)
+    for _ in range(30):
+        costs = [[rng.choice([None, 0.0, 0.5, 1.0, 2.0]) for _ in range(7)] for _ in range(7)]
+        totals = [sum(costs[i][j] for i, j in enumerate(p)) for p in N.permutations(range(7)) if all(costs[i][j] is not None for i, j in enumerate(p))]
+        got = N._assign(costs)
+        assert (got is None) == (not totals) and (got is None or sum(costs[i][j] for i, j in enumerate(got)) == min(totals))
