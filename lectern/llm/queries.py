@@ -19,7 +19,7 @@ from lectern.llm.truncation import truncated_texts
 from lectern.tables import table
 
 CHUNK, OVERLAP, CONTAINER = 800, 200, 2048
-NEAR = {"shingle": 3, "threshold": 0.6, "min_words": 20, "rare": 4, "sketch_bits": 22, "draws": 72, "ids_unique": True}
+NEAR = {"shingle": 3, "threshold": 0.6, "min_words": 20, "ids_unique": True}
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

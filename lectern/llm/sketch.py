@@ -8,26 +8,42 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+SLICES = 32
 
-def gather(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, slices: int = 32) -> np.ndarray:
-    """The sum of what ``fill`` counts in each task: ``size`` counters (a multiple of ``slices``), capped at 2**32 - 1.
 
-    ``size`` does not depend on the data; slices without counts are not sent.
-    """
+def sum_slices(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of compressed slices of counters (slice int, counts binary) that tasks wrote: ``size`` counters, capped at 2**32 - 1."""
+    slices = min(SLICES, size)
     width = size // slices
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = np.minimum(fill(batches), 2**32 - 1).astype(np.uint32).reshape(slices, width)
-        keep = [i for i in range(slices) if parts[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([parts[i].tobytes() for i in keep], pa.binary())], ["slice", "counts"])
+    def unpack(blob: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(blob, 4 * width, "zstd", asbytes=True), dtype=np.uint32)
 
-    def add(key: tuple, table: pa.Table) -> pa.Table:
+    def add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, dtype=np.int64)
-        for blob in table.column("counts").to_pylist():
-            total += np.frombuffer(blob, dtype=np.uint32)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+        for batch in tables:
+            for blob in batch.column("counts").to_pylist():
+                total += unpack(blob)
+        capped = pa.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), "zstd", asbytes=True)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([capped], pa.binary())], ["slice", "counts"])
 
     out = np.zeros(size, dtype=np.uint32)
-    for row in df.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").toLocalIterator():
-        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.uint32)
+    for row in parts.groupBy("slice").applyInArrow(add, "slice int, counts binary").toLocalIterator():
+        out[row["slice"] * width : (row["slice"] + 1) * width] = unpack(row["counts"])
     return out
+
+
+def packed_slices(counters: np.ndarray) -> pa.RecordBatch:
+    """Counters as the rows that ``sum_slices`` adds up; slices without counts are not sent."""
+    parts = np.minimum(counters, 2**32 - 1).astype(np.uint32).reshape(min(SLICES, len(counters)), -1)
+    keep = [i for i, part in enumerate(parts) if part.any()]
+    return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([pa.compress(parts[i].tobytes(), "zstd", asbytes=True) for i in keep], pa.binary())], ["slice", "counts"])
+
+
+def gather(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
+    """The sum of what ``fill`` counts in each task: ``size`` counters, whatever the data hold."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield packed_slices(fill(batches))
+
+    return sum_slices(df.mapInArrow(count, "slice int, counts binary"), size)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
-import xxhash
 
 WORD = re.compile(r"[^\W_]+")
 U64 = np.uint64
@@ -41,45 +40,78 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, the same in every process; kept for words seen before."""
+@lru_cache(1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: whether it is a letter or digit, and a random number for it."""
+    inside = np.fromiter((chr(c).isalnum() for c in range(0x110000)), dtype=bool, count=0x110000)
+    return inside, mix(np.arange(0x110000, dtype=np.uint64) + U64(0x2545F4914F6CDD1D))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
+#: An odd number has an inverse, so the hash of a word comes from sums up to its beginning and its end.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
-_SEEN = _Hashes()
 
+_POWERS: dict[int, np.ndarray] = {}
 
-def hashes(tokens: list[str]) -> np.ndarray:
-    return np.fromiter(map(_SEEN.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
+def _powers(base: int, n: int) -> np.ndarray:
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 20), base, dtype=np.uint64)
+        known[0] = 1
+        np.multiply.accumulate(known, out=known)
+        if n <= 1 << 22:
+            _POWERS[base] = known
+    return known[:n]
 
-def shingle_set(tokens: list[str], size: int) -> np.ndarray:
-    """Sorted distinct hashes of ``size`` consecutive words; texts shorter than that give one hash of all."""
-    h = hashes(tokens)
-    n = len(h) - size + 1
-    if n <= 0:
-        size, n = len(h), min(1, len(h))
-    acc = np.zeros(max(n, 0), dtype=np.uint64)
-    for k in range(size):
-        acc = mix(acc * U64(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(acc)
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, in order, and how many words each text has; the same words as ``words`` gives."""
+    lowered = [t.lower() for t in texts]
+    sizes = np.fromiter(map(len, lowered), dtype=np.int64, count=len(texts)) + 1
+    points = np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)[: int(sizes.sum())]
+    inside, random = _characters()
+    is_in = inside[points]
+    edge = np.diff(is_in.astype(np.int8), prepend=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # the last sign is a line end
+    sums = np.zeros(len(points) + 1, dtype=np.uint64)
+    np.cumsum(random[points] * _powers(_BASE, len(points)), out=sums[1:])
+    hashes = mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(points))[starts] + (ends - starts).astype(np.uint64))
+    bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
+    return hashes, np.diff(bounds)
 
-def shingle_runs(texts: list[list[str]], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of many texts at once: (hashes, bounds); text i has hashes[bounds[i, 0]:bounds[i, 1]], repeats included.
 
-    The same hashes as ``shingle_set``; texts of fewer than ``size`` words have none here.
+def shingle_rows(texts: list[str | None], size: int, least: int = 1, piece: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles of ``size`` words of each text with at least ``least`` words: (row, 48-bit hash), sorted by both.
+
+    Texts shorter than ``size`` words have one hash of all their words. Comes in pieces of whole texts, of about ``piece``
+    characters and at most 2**15 texts. Nulls and texts without words have none.
     """
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    h = np.fromiter(map(_SEEN.__getitem__, chain.from_iterable(texts)), dtype=np.uint64, count=int(lengths.sum()))
-    acc = np.zeros(max(0, len(h) - size + 1), dtype=np.uint64)
-    for k in range(size):
-        acc = mix(acc * U64(0x9E3779B97F4A7C15) + h[k : k + len(acc)])
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
-    return acc, np.stack([starts, np.maximum(starts, ends - size + 1)], axis=1)
+    first = 0
+    while first < len(texts):
+        past, held = first, 0
+        while past < len(texts) and past - first < 1 << 15 and (held == 0 or held + len(texts[past] or "") <= piece):
+            held += len(texts[past] or "")
+            past += 1
+        h, lengths = word_hashes([t or "" for t in texts[first:past]])
+        starts = np.cumsum(lengths) - lengths
+        lengths = np.where(lengths >= max(1, least), lengths, 0)
+        acc = np.zeros(max(0, len(h) - size + 1), dtype=np.uint64)
+        for k in range(size):
+            acc = mix(acc * U64(_BASE) + h[k : k + len(acc)])
+        windows = np.maximum(0, lengths - size + 1)
+        rows = np.repeat(np.arange(len(lengths)), windows)
+        hashes = acc[np.arange(len(rows)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(starts, windows)]
+        short = np.flatnonzero((lengths > 0) & (lengths < size))
+        if len(short):
+            whole = np.zeros(len(short), dtype=np.uint64)
+            for k in range(size - 1):
+                at = np.flatnonzero(lengths[short] > k)
+                whole[at] = mix(whole[at] * U64(_BASE) + h[starts[short[at]] + k])
+            rows, hashes = np.concatenate([rows, short]), np.concatenate([hashes, whole])
+        both = np.sort((rows.astype(np.uint64) << U64(48)) | (hashes >> U64(16)))
+        if len(both):
+            both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+        yield (both >> U64(48)).astype(np.int64) + first, both & U64((1 << 48) - 1)
+        first = past
