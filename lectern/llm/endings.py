@@ -17,9 +17,9 @@ UNIT = re.compile(r"\n+|[.!?。！？…]+(?=\s|$|[\"”’»)\]])|[^\W\d_]+(?:[
 CLOSED = re.compile(r"[.!?。！？…]+[\"”’'»)\]*_]*$|[\])»”]$")
 OPEN = re.compile(r"(?:[,;:–—\-(\[{“„«¿¡&/+=<]|\bN°|�)$")
 MARKER = re.compile(r"(?:^|\n)\s*(?:\d{1,3}[.)]|[-*•–])\s*$")
-#: A short list item, which needs no closing sign.
-ITEM_WORDS = 9
+#: A list item, which needs no closing sign.
 ITEM = re.compile(r"\s*(?:[-*•–]|\d{1,3}[.)])\s+\S")
+ITEM_MARK = re.compile(r"^\s*(?:[-*•–]|\d{1,3}[.)])\s+")
 #: Endings that need no sign: a link, and a text that is only a name.
 LINK = re.compile(r"(?:https?://|www\.)\S{6,}$")
 NAME = re.compile(r"(?:[^\W\d_a-zß-ÿ][\w’'.\-]+\s+){1,3}[^\W\d_a-zß-ÿ][\w’'\-]{2,}")
@@ -48,6 +48,14 @@ def units(text: str) -> list[str]:
     return out
 
 
+def item_units(line: str) -> list[str]:
+    """Words, numbers and signs of a list item without its mark and its closing sign."""
+    units = [u.lower() if not u[0].isdigit() else "0" for u in UNIT.findall(ITEM_MARK.sub("", line))]
+    while units and units[-1][0] in ".!?。！？…":
+        units.pop()
+    return units
+
+
 def _slots(words: tuple[str, ...]) -> tuple[int, int]:
     """Places of a context in the two rows; the lesser count is never under the true one."""
     h = xxhash.xxh64_intdigest("\x1f".join(words))
@@ -73,6 +81,15 @@ def ending_counts(texts: DataFrame) -> np.ndarray:
                 while u and u[-1] in "¶¤":
                     u.pop()
                 seen.update(w.lower() for w in UNIT.findall(text)[:-1] if w[0].isalpha())
+                lines = text.rstrip().split("\n")
+                for line in lines[:-1]:
+                    if ITEM.match(line):
+                        item = item_units(line)
+                        for n in (1, 2):
+                            for i in range(n - 1, len(item)):
+                                slot = _slots(("i", *item[i - n + 1 : i + 1]))
+                                base = 0 if i == len(item) - 1 else 2 << BITS
+                                ends += (base + slot[0], base + slot[1])
                 for i in range(len(u) - 1):
                     if u[i] in "¶¤":
                         continue
@@ -141,6 +158,14 @@ class Endings:
             if not whole or longer >= 20 * whole and longer >= 3:
                 return 0.02
         best = 0.5
+        if ITEM.match(last_line) and "\n" in body:
+            # items close without a sign: held against the items of the corpus, not against sentences
+            item = item_units(last_line)
+            for n in (1, 2):
+                e, g = self._seen(["i", *item[-n:]]) if len(item) >= n else (0, 0)
+                if e + g:
+                    best = (e + 2 * best) / (e + g + 2)
+            return best
         for n in (1, 2, 3):
             if len(u) < n or (n > 1 and u[-n] in "¶¤"):
                 break
@@ -150,10 +175,6 @@ class Endings:
             if e + g < (3 if n > 1 else 1):
                 break
             best = (e + 2 * best) / (e + g + 2)
-        if ITEM.match(last_line) and "\n" in body and 1 < len(u) and len(last_line.split()) <= ITEM_WORDS:
-            ends, goes = self._seen(u[-2:])
-            if ends and ends >= 0.01 * (ends + goes):
-                return max(best, 0.1)  # short list items close without a sign
         return best
 
     def _seen(self, words: list[str]) -> tuple[int, int]:

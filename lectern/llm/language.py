@@ -33,8 +33,8 @@ PREPOSITIONS = r"in|into|auf|en|ins|al|"
 REQUEST = {lang: re.compile(rf"(?:{VERBS})\W[^.?!¿]{{0,40}}?\b(?:{names})|\b(?:auf|in|en)\s+(?:{names})\s+(?:{VERBS})", re.I) for lang, names in ASKED.items()}
 
 
-def language(text: str | None, margin: float = 1.5) -> str | None:
-    """en, de, fr, es or ja; None where no language leads by ``margin`` or nothing is known."""
+def language(text: str | None, margin: float = 1.5, least: float = 1) -> str | None:
+    """en, de, fr, es or ja; None where no language leads by ``margin``, or has ``least`` votes, or nothing is known."""
     if not text:
         return None
     kana = sum("぀" <= c <= "ヿ" for c in text)
@@ -49,7 +49,7 @@ def language(text: str | None, margin: float = 1.5) -> str | None:
     for sign, lang in (("ß", "de"), ("¿", "es"), ("¡", "es"), ("ñ", "es"), ("œ", "fr"), ("ê", "fr"), ("ç", "fr")):
         votes[lang] += 0.5 * min(2, text.lower().count(sign))
     ranked = votes.most_common(2)
-    if not ranked or ranked[0][1] < 1:
+    if not ranked or ranked[0][1] < least:
         return None
     if len(ranked) > 1 and ranked[0][1] < margin * ranked[1][1]:
         return None

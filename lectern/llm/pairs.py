@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.endings import ITEM, Endings, ending_counts
@@ -37,7 +37,8 @@ REFUSAL = re.compile(
 NOTHING = re.compile(r"library|bibliothek|bibliothèque|biblioteca|archiv|transcri|ライブラリ", re.I)
 LEAD = re.compile(r"^\s*(?:answer|antwort|réponse|respuesta|a|question|frage|pregunta|q)\s*[:：]\s*", re.I)
 SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+")
-SHORTENED = 24
+#: Answers of fewer words are short for telling their language.
+SHORT = 5
 #: An answer in prose that leaves its sentence open is broken off unless the corpus often ends so.
 UNCLOSED = 0.5
 
@@ -82,13 +83,15 @@ def is_foreign(question: str | None, answer: str) -> bool:
         return False
     asked = requested(question)
     body = LEAD.sub("", unquoted(answer))
-    got = language(body, 2.0) or (language(answer, 2.0) if len(words(body)) < 4 else None)
+    # a name or a lone word tells no language: short answers need two words of it
+    tells = lambda t: language(t, 2.0, 1 if len(words(t)) >= SHORT else 2)
+    got = tells(body) or (tells(answer) if len(words(body)) < 4 else None)
     own = language(question)
     return bool(got and own and got != own and got not in asked)
 
 
-def judge(question: str | None, answer: str | None, complete: float, shortened: bool, at_limit: bool) -> str | None:
-    """The one defect of a pair, or None."""
+def judge(question: str | None, answer: str | None, complete: float) -> str | None:
+    """The one defect that a pair shows by itself, or None."""
     if is_empty(answer):
         return "empty"
     if is_copy(question, answer):
@@ -99,31 +102,42 @@ def judge(question: str | None, answer: str | None, complete: float, shortened:
         return "wrong_language"
     last = answer.rstrip().rsplit("\n", 1)[-1]
     prose = not ITEM.match(last) and len(words(last)) >= 6  # a sentence left without its end; list items need none
-    if complete < SURE or (complete < LIKELY and (shortened or at_limit)) or (prose and complete < UNCLOSED):
+    if complete < SURE or (prose and complete < UNCLOSED):
         return "truncated"
     return None
 
 
+def BARE(column: str) -> Column:  # noqa: N802
+    """A text without the whitespace and dots that it ends in."""
+    return F.regexp_replace(column, r"(?U)(?:\s|\.{3}|…)+$", "")
+
+
 def shortened_versions(answers: DataFrame) -> DataFrame:
     """Distinct texts that begin another one: (text), by sorting and comparing neighbours' common prefixes.
 
-    Texts are ranged by their first 24 characters, so all texts that share those lie in one partition, in order. A text
-    that begins any other also begins its neighbour. Shorter texts and nulls are left out.
+    Texts are ranged by their whole text, so a common opening of many is divided over tasks; the first text of each range is
+    compared with the last one of the range before (one text a range travels for that). A text that begins any other also begins
+    its neighbour. Nulls and blank texts are left out.
     """
+    texts = answers.select(BARE("text").alias("text")).where(F.length("text") > 0).distinct()
+    ordered = cut(texts.repartitionByRange("text").sortWithinPartitions("text").withColumn("_part", F.spark_partition_id()))
+    firsts = ordered.groupBy("_part").agg(F.min("text").alias("text"))
+    after = Window.partitionBy(F.lit(0)).orderBy("_part")
+    edges = ordered.groupBy("_part").agg(F.max("text").alias("text")).join(firsts.withColumnRenamed("text", "_first"), "_part")
+    edges = edges.select("text", F.lead("_first").over(after).alias("_next")).where(F.col("_next").startswith(F.col("text"))).select("text")
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: str | None = None
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
-                if last is not None and len(text) > len(last) and text.startswith(last):
+                if last is not None and text.startswith(last):
                     out.append(last)
                 last = text
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
 
-    texts = answers.select(F.regexp_replace("text", r"(?U)(?:\s|\.{3}|…)+$", "").alias("text")).where(F.length("text") >= SHORTENED).distinct()
-    ordered = texts.withColumn("_head", F.substring("text", 1, SHORTENED)).repartitionByRange("_head").sortWithinPartitions("_head", "text")
-    return ordered.select("text").mapInArrow(neighbours, "text string").distinct()
+    within = ordered.select("text").sortWithinPartitions("text").mapInArrow(neighbours, "text string")
+    return within.unionByName(edges).distinct()
 
 
 def pair_defects(jobs: DataFrame, *, id_col: str = "id", question_col: str = "question", answer_col: str = "answer.answer") -> DataFrame:
@@ -136,24 +150,21 @@ def pair_defects(jobs: DataFrame, *, id_col: str = "id", question_col: str = "qu
     pairs = jobs.select(F.col(id_col).cast("long").alias("id"), F.col(question_col).alias("question"), F.col(answer_col).alias("answer"))
     filled = pairs.where(F.col("answer").isNotNull())
     counts = ending_counts(filled.select("answer"))
-    spikes = length_spikes(filled.select(F.length(F.rtrim("answer")).alias("length"))).select("length", F.lit(True).alias("_spike"))
-    shorter = shortened_versions(filled.select(F.col("answer").alias("text"))).select(F.xxhash64("text").alias("_short"), F.lit(True).alias("_is_short"))
-    keyed = pairs.withColumn("length", F.length(F.rtrim("answer"))).withColumn("_short", F.xxhash64(F.regexp_replace("answer", r"(?U)(?:\s|\.{3}|…)+$", "")))
-    held = cut(
-        keyed.join(spikes, "length", "left").join(shorter, "_short", "left")
-        .select("id", "question", "answer", F.coalesce("_spike", F.lit(False)).alias("at_limit"), F.coalesce("_is_short", F.lit(False)).alias("shortened"))
-    )
     shared = jobs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         endings = Endings(shared.value)
         for batch in batches:
-            ids, defects = [], []
-            for rid, q, a, at_limit, short in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                defect = judge(q, a, 1.0 if a is None else endings(a), short, at_limit)
-                if defect:
-                    ids.append(rid)
-                    defects.append(defect)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(defects, pa.string())], ["id", "defect"])
-
-    return held.mapInArrow(run, "id long, defect string").distinct()
+            answers = batch.column(2).to_pylist()
+            complete = [1.0 if a is None else endings(a) for a in answers]
+            defects = [judge(q, a, c) for q, a, c in zip(batch.column(1).to_pylist(), answers, complete, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), pa.array(complete, pa.float64()), pa.array(defects, pa.string())], ["id", "length", "bare", "complete", "defect"])
+
+    keyed = pairs.select("id", "question", "answer", F.length(F.rtrim("answer")).alias("length"), F.xxhash64(BARE("answer")).alias("bare"))
+    judged = cut(keyed.mapInArrow(run, "id long, length int, bare long, complete double, defect string"))
+    # only what stays doubtful needs limits and longer versions
+    spikes = length_spikes(judged.where("defect is null or defect = 'truncated'")).select("length", F.lit(True).alias("at_limit"))
+    shorter = shortened_versions(filled.select(F.col("answer").alias("text"))).select(F.xxhash64("text").alias("bare"), F.lit(True).alias("shortened"))
+    sure, doubtful = judged.where("defect is not null"), judged.where((F.col("defect").isNull()) & (F.col("complete") < LIKELY))
+    broken = doubtful.join(spikes, "length", "left").join(shorter, "bare", "left").where("at_limit or shortened")
+    return sure.select("id", "defect").unionByName(broken.select("id", F.lit("truncated").alias("defect"))).distinct()

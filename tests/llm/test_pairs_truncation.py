@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -49,23 +50,39 @@ def test_truncated_briefs(spark):
     assert truncation.truncated_texts(df.limit(0)).count() == 0
 
 
+def ended(spark, rows):
+    return spark.createDataFrame(rows, "length int, complete double")
+
+
 def test_spikes(spark):
     rng = random.Random(1)
-    lengths = [rng.randint(100, 900) for _ in range(3000)] + [512] * 60 + [700] * 40
-    df = spark.createDataFrame([(x,) for x in lengths] + [(None,)], "length int")
-    assert {r["length"] for r in truncation.length_spikes(df).collect()} == {512, 700}
-    assert truncation.length_spikes(df.limit(0)).count() == 0
-    flat = spark.createDataFrame([(rng.randint(100, 900),) for _ in range(3000)], "length int")
-    assert truncation.length_spikes(flat).count() <= 1
+    sound = [(rng.randint(100, 900), rng.choice([1.0, 1.0, 1.0, 0.5])) for _ in range(3000)]
+    limits = [(512, 0.1)] * 30 + [(530, 0.1)] * 40 + [(700, 0.0)] * 20
+    assert {r["length"] for r in truncation.length_spikes(ended(spark, sound + limits + [(None, 0.1), (400, None)])).collect()} == {512, 530, 700}
+    assert truncation.length_spikes(ended(spark, [])).count() == 0
+    assert truncation.length_spikes(ended(spark, sound)).count() == 0
+
+
+def test_lumps_of_sound_texts_are_no_limits(spark):
+    # templates pile up at some lengths; more rows of the same kind make these no limits
+    rng = random.Random(4)
+    lengths, weights = [100 + 7 * i for i in range(60)], [rng.uniform(0.5, 2) for _ in range(60)]
+    for n in (400, 4_000, 40_000):
+        assert truncation.length_spikes(ended(spark, [(x, rng.choice([1.0] * 9 + [0.6])) for x in rng.choices(lengths, weights, k=n)])).count() <= 1
 
 
 def test_no_spikes_at_the_ends(spark):
-    # as many texts of each length from 700 to 900: none is a spike, the first and the last ones neither
-    df = spark.range(0, 20_100).select((F.col("id") % 201 + 700).cast("int").alias("length"))
+    # as many broken texts of each length from 700 to 900: none is a limit, the first and the last ones neither
+    df = spark.range(0, 20_100).select((F.col("id") % 201 + 700).cast("int").alias("length"), F.lit(0.5).alias("complete"))
     assert truncation.length_spikes(df).count() == 0
-    more = df.unionByName(spark.range(0, 100).select(F.lit(900).alias("length")))
-    assert [(r["length"], r["expected"]) for r in truncation.length_spikes(more).collect()] == [(900, 100.0)]
-    assert truncation.length_spikes(spark.range(0, 9).select(F.lit(5).alias("length"))).count() == 1
+    more = df.unionByName(spark.range(0, 400).select(F.lit(900).alias("length"), F.lit(0.5).alias("complete")))
+    assert [(r["length"], r["broken"]) for r in truncation.length_spikes(more).collect()] == [(900, 500)]
+
+
+def test_tail():
+    direct = 1 - sum(math.exp(-3) * 3**k / math.factorial(k) for k in range(7))
+    assert abs(truncation._tail(7, 3.0, 1.0) - direct) < 1e-9
+    assert truncation._tail(7, 3.0, 4.0) > 2 * direct and truncation._tail(0, 3.0, 1.0) == 1.0
 
 
 @pytest.mark.parametrize("text,lang", [
@@ -87,7 +104,7 @@ CASES = [
     (Q, "copy"), (Q.upper(), "copy"), ("Question: " + Q, "copy"), (Q.replace(" wooden", ""), "copy"),
     ("Sorry — I can't help with that request. Is there anything else?", "refusal"), ("Je suis désolé, je ne peux pas répondre à cette demande.", "refusal"), ("Es tut mir leid, aber diese Frage darf ich nicht beantworten.", "refusal"), ("Lo siento, no puedo ayudar con esa petición.", "refusal"), ("My guidelines keep me from responding here.", "refusal"),
     ("Der Techniker reparierte das Gewächshaus und danach war die Brücke mit großer Mühe wieder offen.", "wrong_language"),
-    ("Nothing in the library covers this.", None), ("Twice.", None), ("Ada Lovelace", None), ("305 units.", None),
+    ("Nothing in the library covers this.", None), ("Twice.", None), ("Ada Lovelace", None), ("305 units.", None), ("No.", None), ("Los Angeles", None), ("Des Moines", None), ("Die Hard", None), ("El telar de la bodega.", "wrong_language"),
     ("The archivist repaired the wooden kiln along the canal. Ada then replied “I can’t help with that” and left.", None),
     (Q + " The archivist did, because the cables were swapped.", None),
     ("Antwort: The archivist repaired the wooden kiln, and that was all.", None),
@@ -100,19 +117,28 @@ def test_defects(spark):
     whole = " ".join(sentence(rng) for _ in range(3))
     rows += [(400, "Who?", (whole, [])), (401, "Who?", (whole[:90].rsplit(" ", 1)[0], [])), (402, "Who?", (whole[:60] + "…", []))]
     rows += [(500 + n, Q, None if a is None else (a, [])) for n, (a, _) in enumerate(CASES)]
+    items = [f"{rng.choice(['forgotten', 'rusty', 'quiet'])} {rng.choice(['soil sample', 'radio mast', 'badge reader', 'water meter'])}" for _ in range(900)]
+    rows += [(1000 + n, "Who did what?", (sentence(rng) + "".join(f"\n- {i}" for i in items[3 * n : 3 * n + 3]), [])) for n in range(300)]
+    rows += [(801, "Who did what?", (sentence(rng) + "\n- rusty radio mast\n- quiet water meter", [])), (802, "Who did what?", (sentence(rng) + "\n- rusty radio mast\n- quiet soil", []))]
     rows += [(700, None, ("The archivist repaired the kiln.", [])), (701, "Bitte auf Englisch antworten: Wer war das und wann?", ("The archivist did that in the cold store.", [])), (702, Q, ("word. " * 30_000, []))]
     df = spark.createDataFrame(rows + rows[-5:], "id long, question string, answer struct<answer:string,used_context:array<string>>").withColumn("defect", F.lit("clash")).withColumn("length", F.lit(0))
     got = {r["id"]: r["defect"] for r in pairs.pair_defects(df).collect()}
     assert {n: got.get(500 + n) for n in range(len(CASES))} == {n: d for n, (_, d) in enumerate(CASES)}
+    # an answer that ends in a list: held against the items of the corpus
+    assert got.get(801) is None and got[802] == "truncated"
     assert got[401] == got[402] == "truncated" and 400 not in got and not {700, 701, 702} & set(got)
-    assert sum(i < 300 for i in got) == 0
+    assert sum(i < 300 or i >= 1000 for i in got) == 0
     assert pairs.pair_defects(df.limit(0)).count() == 0
 
 
 def test_shortened_versions(spark):
     rng = random.Random(5)
     long = [" ".join(sentence(rng) for _ in range(2)) for _ in range(80)]
-    texts = long + [t[: 30 + 3 * i] for i, t in enumerate(long[:20])] + [None, "", "The archivist"]
-    want = {a for a in map(str.rstrip, (t for t in texts if t and len(t) >= 24)) for b in long if a != b and b.startswith(a)}
+    texts = long + [t[: 2 + 3 * i] for i, t in enumerate(long[:20])] + [None, "", "The archivist", "  "]
+    bare = {t.rstrip() for t in texts if t and t.strip()}
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    assert {r["text"] for r in pairs.shortened_versions(df).collect()} == want
+    want = {a for a in bare if any(a != b and b.startswith(a) for b in bare)}
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        assert {r["text"] for r in pairs.shortened_versions(df).collect()} == want
+    spark.conf.set("spark.sql.shuffle.partitions", 3)
