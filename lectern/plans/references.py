@@ -7,20 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.orphans import ForeignKey, orphan_cascade, reference_kinds
+from lectern.operators.orphans import ForeignKey, broken_references, orphan_cascade
 from lectern.tables import table
 
 CHILDREN = ("transcripts", "synthetic_questions", "entities")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the child tables whose video is deleted, missing or late."""
-    videos, removals = table(spark, d, "videos").select("video_id", "created_at"), table(spark, d, "video_removals").select("video_id")
-    parts = [
-        reference_kinds(table(spark, d, name).select("id", "video_id", "created_at"), videos, removals, key="video_id").select(F.lit(name).alias("table_name"), "period", "record_id", "kind")
-        for name in CHILDREN
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Rows of the child tables whose video is deleted, missing or late: the direct orphans of the cascade."""
+    return broken_references({n: table(spark, d, n) for n in CHILDREN}, table(spark, d, "videos"), table(spark, d, "video_removals"), key="video_id")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
@@ -31,12 +26,12 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 def p3_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Orphans per table and month, direct and inherited.
 
-    Graph, as in the SQL: transcripts refer to videos; questions, entities and queued tasks are made from a video's transcripts, so
-    they refer to those alone and inherit when all of them are orphans, also where the video itself is missing.
+    All refer to a video that must be there in their time; questions, entities and queued tasks are also made from its transcripts,
+    so they inherit when their video is sound but all its transcripts are orphans.
     """
     names = ("videos", "transcripts", "synthetic_questions", "entities", "processing_queue")
     tables = {n: table(spark, d, n) for n in names}
-    keys = [ForeignKey("transcripts", "video_id", "videos", "video_id")]
+    keys = [ForeignKey(n, "video_id", "videos", "video_id", "created_at", "created_at") for n in names[1:]]
     keys += [ForeignKey(n, "video_id", "transcripts", "video_id") for n in names[2:]]
     ids = {n: "id" for n in names[1:]} | {"videos": "video_id"}
     found = orphan_cascade(tables, keys, ids)
@@ -62,19 +57,20 @@ SQL = {
     "p3_found": _FOUND,
     "p3_report": f"SELECT table_name, period, kind, count(*) AS records FROM ({_FOUND}) GROUP BY ALL",
     "p3_cascade": """
-        WITH t AS (SELECT DISTINCT id, video_id FROM transcripts),
-        lost AS (SELECT id FROM t WHERE video_id IS NOT NULL AND video_id NOT IN (SELECT video_id FROM videos WHERE video_id IS NOT NULL)),
-        sound AS (SELECT DISTINCT video_id FROM t WHERE id NOT IN (SELECT id FROM lost) AND video_id IS NOT NULL),
-        every AS (SELECT DISTINCT video_id FROM t WHERE video_id IS NOT NULL),
-        kids AS (SELECT 'synthetic_questions' AS table_name, id, video_id, created_at FROM synthetic_questions
+        WITH v AS (SELECT video_id, min(created_at) AS since FROM videos WHERE video_id IS NOT NULL GROUP BY 1),
+        rows AS (SELECT 'transcripts' AS table_name, id, video_id, created_at FROM transcripts
+                 UNION ALL SELECT 'synthetic_questions', id, video_id, created_at FROM synthetic_questions
                  UNION ALL SELECT 'entities', id, video_id, created_at FROM entities
                  UNION ALL SELECT 'processing_queue', id, video_id, created_at FROM processing_queue),
+        seen AS (SELECT r.*, r.video_id IS NOT NULL AND (v.video_id IS NULL OR coalesce(v.since > r.created_at, false)) AS lost
+                 FROM rows r LEFT JOIN v ON v.video_id = r.video_id),
+        every AS (SELECT DISTINCT video_id FROM transcripts WHERE video_id IS NOT NULL),
+        sound AS (SELECT DISTINCT video_id FROM seen WHERE table_name = 'transcripts' AND NOT lost AND video_id IS NOT NULL),
         kid AS (SELECT table_name, id, strftime(min(created_at), '%Y-%m') AS period,
-                       max(CASE WHEN video_id IS NOT NULL AND video_id NOT IN (SELECT video_id FROM every) THEN 1 ELSE 0 END) AS direct,
-                       max(CASE WHEN video_id IS NOT NULL AND video_id NOT IN (SELECT video_id FROM sound) THEN 1 ELSE 0 END) AS broken
-                FROM kids GROUP BY 1, 2)
-        SELECT table_name, period, sum(direct)::BIGINT AS direct, sum(broken - direct)::BIGINT AS inherited FROM kid WHERE broken = 1 GROUP BY 1, 2
-        UNION ALL
-        SELECT 'transcripts', strftime(created_at, '%Y-%m'), count(*), 0 FROM transcripts WHERE id IN (SELECT id FROM lost) GROUP BY 2
+                       max(CASE WHEN lost OR table_name <> 'transcripts' AND video_id IS NOT NULL AND video_id NOT IN (SELECT video_id FROM every) THEN 1 ELSE 0 END) AS direct,
+                       max(CASE WHEN table_name <> 'transcripts' AND video_id IS NOT NULL AND video_id NOT IN (SELECT video_id FROM sound) THEN 1 ELSE 0 END) AS broken
+                FROM seen GROUP BY 1, 2)
+        SELECT table_name, period, sum(direct)::BIGINT AS direct, sum(CASE WHEN direct = 1 THEN 0 ELSE broken END)::BIGINT AS inherited
+        FROM kid WHERE direct = 1 OR broken = 1 GROUP BY 1, 2
     """,
 }

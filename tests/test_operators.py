@@ -119,16 +119,20 @@ def test_reference_kinds(spark):
         [(1, "p", T1), (1, "p", T1), (2, "late", T1), (3, "gone", T1), (3, "gone", T1), (4, "none", None), (5, None, T1), (6, "P", T1), (7, "notime", T1), (8, "late", None)],
         "id long, video_id string, created_at timestamp",
     ).withColumn("kind", F.lit("clash")).withColumn("period", F.lit("clash")).withColumn("_salt", F.lit(0))
-    got = sorted((r["record_id"], r["period"], r["kind"]) for r in O.reference_kinds(child, parents, gone, key="video_id").collect())
+    broken = lambda c, p, g: O.broken_references({"c": c}, p, g, key="video_id")
+    got = sorted((r["record_id"], r["period"], r["kind"]) for r in broken(child, parents, gone).collect())
     assert got == [(2, "2025-02", "late"), (3, "2025-02", "deleted"), (4, None, "missing"), (6, "2025-02", "missing")]
-    assert O.reference_kinds(child.limit(0), parents, gone, key="video_id").count() == 0
-    assert {r["kind"] for r in O.reference_kinds(child, parents.limit(0), None, key="video_id").collect()} == {"missing"}
+    assert broken(child.limit(0), parents, gone).count() == 0
+    assert {r["kind"] for r in broken(child, parents.limit(0), None).collect()} == {"missing"}
+    two = O.broken_references({"c": child, "d": child.where("id = 3")}, parents, gone, key="video_id")
+    assert {r["table_name"]: r["n"] for r in two.groupBy("table_name").agg(F.count(F.lit(1)).alias("n")).collect()} == {"c": 4, "d": 1}
 
 
-def test_hot_key_is_spread(spark):
-    child = spark.range(0, 3000).select("id", F.lit("hot").alias("video_id"), F.lit(T0).alias("created_at"))
-    parents = spark.createDataFrame([("x", T0)], "video_id string, created_at timestamp")
-    assert O.reference_kinds(child, parents, None, key="video_id").count() == 3000
+def test_hot_key_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(O, "HOT", 100)
+    child = spark.range(0, 3000).select("id", F.when(F.col("id") < 2900, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("video_id"), F.lit(T0).alias("created_at"))
+    for parents, n in (([("x", T0)], 3000), ([("hot", T0)], 100), ([("hot", T1)], 3000)):
+        assert O.broken_references({"c": child}, spark.createDataFrame(parents, "video_id string, created_at timestamp"), None, key="video_id").count() == n
 
 
 def test_cascade(spark):
@@ -150,6 +154,8 @@ def test_cascade_on_a_cycle(spark):
     t = {"x": spark.createDataFrame([(1, 2), (2, 3), (3, 99)], "id long, up long")}
     got = {r["record_id"]: r["inherited"] for r in O.orphan_cascade(t, [O.ForeignKey("x", "up", "x", "id")], {"x": "id"}).collect()}
     assert got == {"3": False, "2": True, "1": True}
+    with pytest.raises(RuntimeError):
+        O.orphan_cascade(t, [O.ForeignKey("x", "up", "x", "id")], {"x": "id"}, max_rounds=2)
 
 
 def test_store_write_back_and_sweep(spark):
