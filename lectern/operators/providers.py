@@ -8,6 +8,7 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 NAME = re.compile(r"(?:[A-Z][\w’'-]+)(?:\s+[A-Z][\w’'-]+)+")
 SENTENCE = re.compile(r"(?<=[.!?。])\s+|\n+")
@@ -78,3 +79,15 @@ def generate(sources: DataFrame, provider: Provider, *, n: int = 10) -> DataFram
 
     schema = "video_id string, brief string, questions array<string>, entities array<struct<name:string,type:string,aliases:array<string>>>, error string"
     return sources.select("video_id", "title", "channel", "date", "text").mapInArrow(run, schema)
+
+
+def generated_rewrites(questions: DataFrame, provider: Provider) -> DataFrame:
+    """Questions (question_id, question, video_ids) with the provider's ``rewrites``; null questions have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [provider.rewrites(q) if q else [] for q in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.string()))], ["question_id", "question", "video_ids", "rewrites"])
+
+    source = questions.select(F.col("question_id").cast("long").alias("question_id"), "question", "video_ids")
+    return source.mapInArrow(run, "question_id long, question string, video_ids array<string>, rewrites array<string>")

@@ -17,8 +17,21 @@ from lectern.operators.search import keyword_search
 from lectern.operators.versions import latest_by_aggregate
 
 LAYERS = ("chunk", "shorty", "synthetic_question")
+# Fixed value: what is said where nothing was found.
 NOTHING = "I could not find any relevant information in your indexed videos to answer that."
 SEPARATOR = "\n---\n"
+FIRST_DAY = "2005-01-01"
+
+
+def question_records(questions: DataFrame) -> DataFrame:
+    """Question rows with their index records: (id, video_id, question, ordinal, record_id), one per row id.
+
+    The ordinal is the place among the questions of a video, in the order of their index. Blank questions and null videos have no record.
+    """
+    once = questions.where(F.col("video_id").isNotNull() & ~is_blank("question")).dropDuplicates(["id"])
+    place = Window.partitionBy("video_id").orderBy(F.col("question_index").asc_nulls_last(), "created_at", "id")
+    placed = once.select("id", "video_id", "question", (F.row_number().over(place) - 1).alias("ordinal"))
+    return placed.select("*", record_id("video_id", "sq", "ordinal").alias("record_id"))
 
 
 def index_records(transcripts: DataFrame, questions: DataFrame, *, size: int = 800, overlap: int = 200) -> DataFrame:
@@ -35,11 +48,7 @@ def index_records(transcripts: DataFrame, questions: DataFrame, *, size: int = 8
     brief = newest.where(~is_blank("shorty")).select(
         record_id("video_id", "shorty").alias("record_id"), "video_id", F.lit("shorty").alias("kind"), F.lit(None).cast("int").alias("ordinal"), F.col("shorty").alias("document")
     )
-    once = questions.where(F.col("video_id").isNotNull() & ~is_blank("question")).dropDuplicates(["id"])
-    place = Window.partitionBy("video_id").orderBy(F.col("question_index").asc_nulls_last(), "created_at", "id")
-    asked = once.select("video_id", "question", (F.row_number().over(place) - 1).alias("ordinal")).select(
-        record_id("video_id", "sq", "ordinal").alias("record_id"), "video_id", F.lit("synthetic_question").alias("kind"), "ordinal", F.col("question").alias("document")
-    )
+    asked = question_records(questions).select("record_id", "video_id", F.lit("synthetic_question").alias("kind"), "ordinal", F.col("question").alias("document"))
     return reduce(DataFrame.unionByName, (chunk, brief, asked))
 
 
@@ -77,32 +86,58 @@ def layer_search(asked: DataFrame, records: DataFrame, kind: str, k: int, *, ded
     return flat.select("question_id", "id", "distance", F.row_number().over(order).alias("place"))
 
 
-def retrieve(questions: DataFrame, records: DataFrame, *, k: int = 4, briefs: int = 10, candidates: DataFrame | None = None, wanted: DataFrame | None = None, prefilter: bool = False) -> DataFrame:
+def retrieve(
+    questions: DataFrame,
+    records: DataFrame,
+    *,
+    k: int = 4,
+    briefs: int = 10,
+    candidates: DataFrame | None = None,
+    wanted: DataFrame | None = None,
+    prefilter: bool = False,
+    asked: DataFrame | None = None,
+) -> DataFrame:
     """All layers of all questions: (question_id, layer, place, video_id, ordinal, document, distance).
 
-    ``candidates`` (video_id) restricts the brief layer, with ``prefilter`` all layers. ``wanted`` (question_id, video_id) filters the
-    results of those questions that name videos, after the search. An empty candidate set restricts nothing.
+    ``candidates`` (question_id, video_id) restricts the brief layer of the questions that it names, with ``prefilter`` all their
+    layers; questions without candidates are not restricted. ``wanted`` (question_id, video_id) filters the results of those
+    questions that name videos, after the search. ``asked`` (question_id, query_id, variant, embedding): the variants with their
+    vectors, where they are not to be made from ``questions``.
     """
-    asked = variants(questions).withColumn("embedding", embed(embed_input("query")))
-    if candidates is not None and candidates.isEmpty():
-        candidates = None
+    if asked is None:
+        asked = variants(questions).withColumn("embedding", embed(embed_input("query")))
     parts = []
     for layer in LAYERS:
         brief = layer == "shorty"
-        allowed = candidates if brief or prefilter else None
-        found = layer_search(asked, records, layer, briefs if brief else k, dedupe=brief, prefilter=allowed)
-        parts.append(found.withColumn("layer", F.lit(layer)))
+        n = briefs if brief else k
+        free = asked
+        if candidates is not None and (brief or prefilter):
+            free = asked.join(candidates.select("question_id").distinct(), "question_id", "left_anti")
+            parts.append(restricted_search(asked, records, layer, candidates, n).withColumn("layer", F.lit(layer)))
+        parts.append(layer_search(free, records, layer, n, dedupe=brief).withColumn("layer", F.lit(layer)))
     hits = reduce(DataFrame.unionByName, parts).join(records.select("id", "video_id", "ordinal", "document"), "id")
     if wanted is not None:
         naming = wanted.select("question_id").distinct()
-        free = hits.join(naming, "question_id", "left_anti")
+        unbound = hits.join(naming, "question_id", "left_anti")
         bound = hits.join(naming, "question_id", "left_semi").join(wanted.select("question_id", "video_id").distinct(), ["question_id", "video_id"], "left_semi")
-        hits = free.unionByName(bound.select(*free.columns))
+        hits = unbound.unionByName(bound.select(*unbound.columns))
     again = Window.partitionBy("question_id", "layer").orderBy("place")
     kept = hits.withColumn("place", F.row_number().over(again))
     return kept.where((F.col("layer") == "shorty") | (F.col("place") <= k)).select("question_id", "layer", "place", "video_id", "ordinal", "document", "distance")
 
 
+def passages(vector_hits: DataFrame, keyword_hits: DataFrame, mode: str = "auto") -> DataFrame:
+    """The passages that answer: those of the vector layers ('vector'), of the keyword layer ('keyword'), or with 'auto' the latter
+    for the questions of which the vector layers hold nothing."""
+    if mode == "vector":
+        return vector_hits
+    if mode == "keyword":
+        return keyword_hits
+    if mode != "auto":
+        raise ValueError("mode is 'vector', 'keyword' or 'auto'")
+    return vector_hits.unionByName(keyword_hits.join(vector_hits.select("question_id").distinct(), "question_id", "left_anti").select(*vector_hits.columns))
+
+
 def inferred_filters(questions: DataFrame, videos: DataFrame, *, block: int = 2_000) -> DataFrame:
     """What a question says about metadata: (question_id, channels, date_from, date_to).
 
@@ -142,10 +177,10 @@ def candidate_videos(filters: DataFrame, videos: DataFrame) -> DataFrame:
     day = F.substring("watch_date", 1, 10)
     bounds = (F.col("date_from").isNull() | (day >= F.col("date_from"))) & (F.col("date_to").isNull() | (day <= F.col("date_to")))
     named = filters.where("channels is not null").withColumn("channel", F.explode("channels")).join(known, "channel").where(bounds)
-    # dates alone: joined by month, so the range join is an equi-join
-    month = lambda c: F.trunc(F.to_date(c), "month")
-    months = F.explode(F.sequence(month("date_from"), month("date_to"), F.expr("interval 1 month")))
-    valid = filters.where("channels is null and try_to_date(date_from) is not null and try_to_date(date_to) is not null")
+    # dates alone: joined by month, so the range join is an equi-join; a range open at one end goes from the first video or to today
+    low, high = F.coalesce(F.try_to_date("date_from"), F.lit(FIRST_DAY).cast("date")), F.coalesce(F.try_to_date("date_to"), F.current_date())
+    months = F.explode(F.when(low <= high, F.sequence(F.trunc(low, "month"), F.trunc(high, "month"), F.expr("interval 1 month"))))
+    valid = filters.where("channels is null and (try_to_date(date_from) is not null or try_to_date(date_to) is not null)")
     dated = valid.withColumn("month", months).join(known.withColumn("month", F.trunc(F.try_to_date(day), "month")), "month").where(bounds)
     return named.select("question_id", "video_id").unionByName(dated.select("question_id", "video_id")).distinct()
 

@@ -36,6 +36,22 @@ def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
 
 
+def pages(rows: Column | str, size: int) -> Column:
+    """How many pages so many rows take: one at least."""
+    return F.greatest(F.ceil((F.col(rows) if isinstance(rows, str) else rows) / F.lit(size)), F.lit(1)).cast("long")
+
+
+def clamped_page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
+    """Page ``number``, or the first or last one where it lies outside of the pages there are."""
+    last = df.agg(pages(F.count(F.lit(1)), size).alias("n")).first()["n"]
+    return page(df, min(max(number, 1), last), size, *order)
+
+
+def present(df: DataFrame, columns: list[str]) -> list[str]:
+    """Those of the columns that the table has, in the order asked for."""
+    return [c for c in columns if c in df.columns]
+
+
 def page_after(df: DataFrame, size: int, time: str, tie: str, last_time: object = None, last_tie: object = None) -> DataFrame:
     """The next page, newest first, after the last row seen: the depth of the page costs nothing."""
     if last_time is not None:

@@ -85,17 +85,33 @@ def fan_out(keys: DataFrame, key: str, tasks: Sequence[str], out: str = "task")
     return keys.select(key, F.explode(F.array(*[F.lit(t) for t in tasks])).alias(out))
 
 
-def patch_json(value: Column | str, name: str, new: Column | str | None, schema: str) -> Column:
-    """A JSON object with one field set, or removed where the new value is null or blank; malformed JSON counts as {}.
+def patch_json(value: Column | str, name: str, new: Column | str | None) -> Column:
+    """A JSON object with one field set, or removed where the new value is null or blank; all other fields stay as they are.
 
-    ``schema`` keeps the types of the other fields; fields outside of it are dropped.
+    What is no JSON object, malformed or null, counts as {}.
     """
     source = F.col(value) if isinstance(value, str) else value
-    # an object that does not parse shows no field at all
-    empty = F.from_json(F.lit("{}"), schema)
-    parsed = F.coalesce(F.from_json(source, schema), empty)
-    fresh = F.lit(None).cast("string") if new is None else (F.col(new) if isinstance(new, str) else new)
-    return F.to_json(parsed.withField(name, F.nullif(F.trim(fresh), F.lit(""))))
+    held = F.try_variant_get(F.try_parse_json(source), "$", "map<string,variant>")
+    others = F.map_filter(F.coalesce(held, F.expr("cast(map() as map<string,variant>)")), lambda k, _: k != name)
+    fresh = F.lit(None).cast("string") if new is None else F.nullif(F.trim(F.col(new) if isinstance(new, str) else new), F.lit(""))
+    return F.to_json(F.when(fresh.isNull(), others).otherwise(F.map_concat(others, F.create_map(F.lit(name), fresh.cast("variant")))))
+
+
+def transition(queue: DataFrame, changes: DataFrame, key: str, now: Column) -> DataFrame:
+    """A queue after changes of status (key, status, error).
+
+    'started' sets the time of starting, 'completed' and 'failed' that of the end and the error; any other status is only set.
+    Keys of ``changes`` are unique; tasks that it lacks, or gives a null status, stay as they are.
+    """
+    joined = queue.join(changes.select(key, F.col("status").alias("_to"), F.col("error").alias("_error")), key, "left")
+    ended = F.col("_to").isin("completed", "failed")
+    new = {
+        "status": F.coalesce("_to", "status"),
+        "started_at": F.when(F.col("_to") == "started", now).otherwise(F.col("started_at")),
+        "completed_at": F.when(ended, now).otherwise(F.col("completed_at")),
+        "error": F.when(ended, F.col("_error")).otherwise(F.col("error")),
+    }
+    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in queue.columns])
 
 
 def with_reasons(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

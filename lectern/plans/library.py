@@ -13,7 +13,7 @@ from lectern.operators import library as L
 from lectern.operators import search as S
 from lectern.operators import versions as V
 from lectern.operators import writes as W
-from lectern.sources.readers import METADATA, with_metadata
+from lectern.sources.readers import with_metadata
 from lectern.streaming import queue as Q
 from lectern.plans.sql import LIBRARY as SQL  # noqa: F401
 from lectern.tables import table
@@ -274,10 +274,11 @@ def replace_questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def patched_metadata(spark: SparkSession, d: str) -> DataFrame:
-    """Videos after their upload date was set from the watch date (removed where there is none)."""
+    """All fields of the videos' metadata after the upload date was set from the watch date (removed where there is none)."""
     rows = table(spark, d, "videos").withColumn("day", F.regexp_replace(F.substring("watch_date", 1, 10), "-", ""))
-    patched = rows.select("video_id", W.patch_json("json_metadata", "upload_date", "day", METADATA).alias("j"))
-    return patched.select("video_id", F.get_json_object("j", "$.upload_date").alias("upload_date"))
+    patched = rows.select("video_id", W.patch_json("json_metadata", "upload_date", "day").alias("j"))
+    fields = F.explode_outer(F.try_variant_get(F.try_parse_json("j"), "$", "map<string,variant>")).alias("field", "value")
+    return patched.select("video_id", fields).select("video_id", "field", F.to_json("value").alias("value"))
 
 
 def quarantine(spark: SparkSession, d: str) -> DataFrame:

@@ -166,7 +166,11 @@ LIBRARY: dict[str, str] = {
         WITH r AS (SELECT DISTINCT video_id FROM video_removals WHERE video_id IS NOT NULL)
         SELECT * FROM (SELECT DISTINCT id, video_id, question FROM synthetic_questions) q WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.video_id = q.video_id)
         UNION ALL SELECT -1, video_id, 'What happened?' FROM r""",
-    "patched_metadata": "SELECT video_id, nullif(trim(replace(substring(watch_date, 1, 10), '-', '')), '') AS upload_date FROM videos",
+    "patched_metadata": """
+        WITH p AS (SELECT video_id, nullif(trim(replace(substring(watch_date, 1, 10), '-', '')), '') AS day, CASE WHEN json_valid(json_metadata) AND json_type(json_metadata) = 'OBJECT' THEN json_metadata ELSE '{}' END::JSON AS j FROM videos),
+        k AS (SELECT video_id, j, unnest(json_keys(j)) AS field FROM p),
+        f AS (SELECT video_id, field, json_extract(j, '$."' || field || '"')::VARCHAR AS value FROM k WHERE field <> 'upload_date' UNION ALL SELECT video_id, 'upload_date', '"' || day || '"' FROM p WHERE day IS NOT NULL)
+        SELECT * FROM f UNION ALL SELECT video_id, NULL, NULL FROM p WHERE coalesce(video_id NOT IN (SELECT video_id FROM f), true)""",
     "quarantine": f"""
         SELECT table_name, reason, count(*) AS rows FROM (
             SELECT 'videos' AS table_name, 'no title' AS reason FROM videos WHERE {blank('title')} UNION ALL SELECT 'videos', 'no channel' FROM videos WHERE {blank('channel')}
@@ -181,6 +185,23 @@ _CONTEXT = f"""
            md5(CASE WHEN count(k.row_id) > 0 THEN string_agg('[shorty] video_id=' || k.video_id || chr(10) || t.shorty || chr(10), chr(10) || '---' || chr(10) ORDER BY k.rank)
                     ELSE 'I could not find any relevant information in your indexed videos to answer that.' END) AS context
     FROM ask_jobs j LEFT JOIN ({_KEYWORDS}) k ON k.query_id = j.id LEFT JOIN transcripts t ON t.id = k.row_id WHERE j.id % 50 = 0 GROUP BY j.id"""
+_ORDINALS = f"""
+    SELECT id, video_id || ':sq:' || (row_number() OVER (PARTITION BY video_id ORDER BY question_index NULLS LAST, created_at NULLS FIRST, id) - 1) AS record_id
+    FROM (SELECT DISTINCT id, video_id, question, question_index, created_at FROM synthetic_questions WHERE video_id IS NOT NULL AND NOT {blank('question')})"""
+_LAYERED = """
+    WITH q AS (SELECT id AS question_id, video_ids FROM ask_jobs WHERE id % 50 = 0 AND question IS NOT NULL),
+    var AS (SELECT question_id, e.vec_id - question_id AS variant, e.embedding FROM q JOIN embeddings e ON e.vec_id >= question_id AND e.vec_id <= question_id + 2),
+    rec AS (SELECT e.vec_id AS id, t.video_id, ['chunk', 'shorty', 'synthetic_question'][(e.vec_id % 3 + 1)::INTEGER] AS layer, (e.vec_id % 7)::INTEGER AS ordinal, e.embedding FROM embeddings e LEFT JOIN transcripts t ON t.id = e.vec_id),
+    cand AS (SELECT question_id, v.video_id FROM q CROSS JOIN videos v WHERE question_id % 100 = 0 AND v.channel = 'Lantern Quay Sessions' AND v.video_id IS NOT NULL),
+    dist AS (SELECT question_id, variant, id, layer, video_id, ordinal, round(1 - list_cosine_similarity(var.embedding::DOUBLE[], rec.embedding::DOUBLE[]), 9) AS distance FROM var CROSS JOIN rec),
+    near AS (SELECT *, row_number() OVER (PARTITION BY question_id, variant, layer ORDER BY distance, id) AS n FROM dist),
+    flat AS (SELECT question_id, layer, id, video_id, ordinal, distance, row_number() OVER (PARTITION BY question_id, layer ORDER BY distance, variant, n) AS place FROM near WHERE layer <> 'shorty' AND n <= 4),
+    brief AS (SELECT question_id, layer, id, video_id, ordinal, min(distance) AS distance FROM near WHERE layer = 'shorty' AND n <= 10 AND question_id NOT IN (SELECT question_id FROM cand) GROUP BY ALL
+              UNION ALL SELECT question_id, layer, id, video_id, ordinal, min(distance) FROM dist WHERE layer = 'shorty' AND (question_id, video_id) IN (SELECT (question_id, video_id) FROM cand) GROUP BY ALL),
+    every AS (SELECT * FROM flat UNION ALL SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, id) AS place FROM brief) WHERE place <= 10),
+    kept AS (SELECT e.* FROM every e JOIN q ON q.question_id = e.question_id WHERE coalesce(len(q.video_ids), 0) = 0 OR list_contains(q.video_ids, e.video_id)),
+    again AS (SELECT * EXCLUDE (place), (row_number() OVER (PARTITION BY question_id, layer ORDER BY place))::INTEGER AS place FROM kept),
+    hits AS (SELECT * FROM again WHERE layer = 'shorty' OR place <= 4)"""
 RETRIEVAL: dict[str, str] = {
     "knn_exact": f"SELECT query_id, id, round(distance, 6) AS distance, rank FROM ({_VECTORS})",
     "knn_best": f"""
@@ -197,6 +218,23 @@ RETRIEVAL: dict[str, str] = {
         UNION ALL SELECT video_id || ':sq:' || o, video_id, 'synthetic_question', o, md5(question) FROM (
             SELECT video_id, question, (row_number() OVER (PARTITION BY video_id ORDER BY question_index NULLS LAST, created_at NULLS FIRST, id) - 1)::INTEGER AS o
             FROM (SELECT DISTINCT id, video_id, question, question_index, created_at FROM synthetic_questions WHERE video_id IS NOT NULL AND NOT {blank('question')}))""",
-    "question_ids": "SELECT DISTINCT id, video_id || ':sq:' || question_index AS embedding_id FROM synthetic_questions WHERE video_id IS NOT NULL AND question_index IS NOT NULL",
+    "question_ids": f"SELECT DISTINCT q.id, coalesce(r.record_id, q.embedding_id) AS embedding_id FROM synthetic_questions q LEFT JOIN ({_ORDINALS}) r ON r.id = q.id",
+    "layered_vectors": f"{_LAYERED} SELECT question_id, layer, place, video_id, ordinal, round(distance, 6) AS distance FROM hits",
+    "answered_questions": f"""{_LAYERED},
+        k AS (SELECT query_id AS question_id, 'shorty' AS layer, rank AS place, k.video_id, NULL::INTEGER AS ordinal, t.shorty AS document FROM ({_KEYWORDS}) k JOIN transcripts t ON t.id = k.row_id),
+        v AS (SELECT question_id, layer, place, video_id, ordinal, 'passage ' || id AS document FROM hits),
+        m AS (SELECT 'vector' AS mode, * FROM v UNION ALL SELECT 'keyword', * FROM k UNION ALL SELECT 'auto', * FROM v UNION ALL SELECT 'auto', * FROM k WHERE question_id NOT IN (SELECT question_id FROM v)),
+        b AS (SELECT mode, question_id, count(*) AS n, string_agg('[' || layer || '] video_id=' || coalesce(video_id, 'unknown_video') || CASE WHEN ordinal IS NULL THEN '' ELSE ' chunk=' || ordinal END || chr(10) || document || chr(10), chr(10) || '---' || chr(10)
+                     ORDER BY list_position(['chunk', 'shorty', 'synthetic_question'], layer), place) AS context FROM m GROUP BY 1, 2)
+        SELECT o.mode, j.id AS question_id, coalesce(n, 0)::INTEGER AS passages, md5(coalesce(context, 'I could not find any relevant information in your indexed videos to answer that.')) AS answer
+        FROM (SELECT id FROM ask_jobs WHERE id % 50 = 0 AND question IS NOT NULL) j CROSS JOIN (VALUES ('vector'), ('keyword'), ('auto')) o(mode) LEFT JOIN b ON b.mode = o.mode AND b.question_id = j.id""",
+    "keyword_hits": f"SELECT query_id AS question_id, 'shorty' AS layer, rank AS place, video_id, -score::DOUBLE AS distance FROM ({_KEYWORDS})",
     "keyword_contexts": _CONTEXT,
 }
+_RECORDS = RETRIEVAL["index_records"]
+RETRIEVAL["dangling_ids"] = f"SELECT count(*) AS questions, count_if(record_id NOT IN (SELECT record_id FROM ({_RECORDS}))) AS absent, count(DISTINCT record_id) AS ids FROM ({_ORDINALS})"
+_AGAIN = "(SELECT * FROM transcripts WHERE video_id IS NOT NULL AND text IS NOT NULL AND id % 10 = 0)"
+RETRIEVAL["index_counts"] = f"SELECT kind, count(*) AS records FROM ({_RECORDS}) GROUP BY kind"
+RETRIEVAL["index_upsert"] = f"""
+    SELECT record_id, kind, document FROM ({_RECORDS}) WHERE video_id NOT IN (SELECT video_id FROM {_AGAIN})
+    UNION ALL SELECT record_id, kind, document FROM ({_RECORDS.replace('FROM transcripts WHERE', f'FROM {_AGAIN} WHERE').split('UNION ALL SELECT video_id || ' + "':sq:'")[0]})"""

@@ -1,5 +1,6 @@
 """Versions, writes, reads, search and orphans on small tables with nulls, ties, repeats, empty tables and clashing names."""
 
+import json
 from datetime import datetime
 
 import pytest
@@ -66,10 +67,26 @@ def test_updates_and_deletes(spark, rows):
 
 
 def test_json_patch(spark):
-    schema = "upload_date string, tags array<string>, n bigint"
-    df = spark.createDataFrame([('{"n": 3, "tags": ["a"]}', "d"), ("broken", "d"), (None, "d"), ('{"upload_date": "old"}', " ")], "j string, d string")
-    got = [r[0] for r in df.select(W.patch_json("j", "upload_date", "d", schema)).collect()]
-    assert got == ['{"upload_date":"d","tags":["a"],"n":3}', '{"upload_date":"d"}', '{"upload_date":"d"}', "{}"]
+    rows = [('{"n": 3, "tags": ["a"], "other": {"deep": [1, null, "x"]}}', "d"), ("broken", "d"), (None, "d"), ('{"upload_date": "old", "z": 1.5}', " "), ("[1]", "d"), ("{}", None)]
+    df = spark.createDataFrame(rows, "j string, d string")
+    got = [r[0] for r in df.select(W.patch_json("j", "upload_date", "d")).collect()]
+    assert [json.loads(g) for g in got] == [{"n": 3, "tags": ["a"], "other": {"deep": [1, None, "x"]}, "upload_date": "d"}, {"upload_date": "d"}, {"upload_date": "d"}, {"z": 1.5}, {"upload_date": "d"}, {}]
+
+
+def test_transitions(spark):
+    queue = spark.createDataFrame([(1, "pending", None, None, None), (2, "started", T0, None, None), (3, "started", T0, None, "old"), (4, None, None, None, None), (5, "pending", None, None, "kept")], "id long, status string, started_at timestamp, completed_at timestamp, error string")
+    changes = spark.createDataFrame([(1, "started", "x"), (2, "completed", None), (3, "failed", "bad"), (4, None, "x"), (9, "failed", "x")], "id long, status string, error string")
+    got = {r["id"]: tuple(r)[1:] for r in W.transition(queue, changes, "id", F.lit(T2)).collect()}
+    assert got == {1: ("started", T2, None, None), 2: ("completed", T0, T2, None), 3: ("failed", T0, T2, "bad"), 4: (None, None, None, None), 5: ("pending", None, None, "kept")}
+    assert W.transition(queue.limit(0), changes, "id", F.lit(T2)).count() == 0
+
+
+def test_clamped_page(spark):
+    df = spark.range(95)
+    assert [r["id"] for r in V.clamped_page(df, 99, 10, F.col("id")).collect()] == [90, 91, 92, 93, 94]
+    assert [r["id"] for r in V.clamped_page(df, -1, 10, F.col("id")).collect()] == list(range(10))
+    assert V.clamped_page(df.limit(0), 3, 10, F.col("id")).count() == 0
+    assert V.present(df, ["x", "id"]) == ["id"]
 
 
 def test_evolve_and_reasons(spark):

@@ -4,10 +4,10 @@ import pytest
 from compare import database, same
 
 import __spark_entry__ as entry
-from lectern.plans import library, references, retrieval
+from lectern.plans import changes, library, references, retrieval
 
-CORE = {**references.QUERIES, **library.QUERIES, **retrieval.QUERIES}
-SQL = {**references.SQL, **library.SQL, **retrieval.SQL}
+CORE = {**references.QUERIES, **library.QUERIES, **retrieval.QUERIES, **changes.QUERIES}
+SQL = {**references.SQL, **library.SQL, **retrieval.SQL, **changes.SQL}
 
 
 @pytest.fixture(scope="module")

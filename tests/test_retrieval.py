@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions.vectors import cosine, hash_embed
@@ -58,9 +59,15 @@ def test_layers(spark):
     wanted = spark.createDataFrame([(1, "v2")], "question_id long, video_id string")
     filtered = R.retrieve(asked, index, k=1, wanted=wanted)
     assert filtered.where("question_id = 1 and layer = 'chunk'").count() == 0  # the filter comes after the search
-    assert R.retrieve(asked, index, k=1, candidates=wanted.limit(0).select("video_id")).count() == hits.count()
-    only = R.retrieve(asked, index, k=1, candidates=wanted.select("video_id"), prefilter=True)
-    assert {r["video_id"] for r in only.collect()} == {"v2"}
+    assert R.retrieve(asked, index, k=1, candidates=wanted.limit(0)).count() == hits.count()
+    only = R.retrieve(asked, index, k=1, candidates=wanted, prefilter=True)
+    assert {r["video_id"] for r in only.where("question_id = 1").collect()} == {"v2"}
+    assert only.where("question_id = 2").count() == hits.where("question_id = 2").count()
+    words = hits.limit(0).unionByName(hits.withColumn("question_id", F.lit(3).cast("long")))
+    assert R.passages(hits, words).count() == 2 * hits.count() and R.passages(hits, hits).count() == hits.count()
+    assert R.passages(hits, words, "keyword").select("question_id").distinct().count() == 1 and R.passages(hits, words, "vector").count() == hits.count()
+    with pytest.raises(ValueError):
+        R.passages(hits, words, "other")
     made = {r["question_id"]: r for r in R.contexts(asked.unionByName(spark.createDataFrame([(3, "none", None)], asked.schema)), hits).collect()}
     assert made[3]["context"] == R.NOTHING and made[1]["used_context"][0].startswith("[chunk] video_id=v1 chunk=0\n")
     assert [b.split("]")[0] for b in made[1]["used_context"]] == sorted([b.split("]")[0] for b in made[1]["used_context"]], key=lambda x: R.LAYERS.index(x[1:]))
