@@ -19,89 +19,120 @@ from pyspark.sql import functions as F
 from lectern.session import cut
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, supply: np.ndarray, capacity: int) -> np.ndarray:
-    """Multiplicity per length of a most valuable multiset within the capacity, at most ``supply`` of each.
-
-    Unbounded knapsack by dynamic programming; multiplicities over the supply are cut back and the room refilled.
-    """
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack by dynamic programming: the best value for each room, and the length that is taken there (-1: leave one free)."""
     value = np.zeros(capacity + 1)
     pick = np.full(capacity + 1, -1, dtype=np.int64)
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        n = np.searchsorted(lengths, c, side="right")
+        n = upto[c]
         value[c] = value[c - 1]
         if n:
             offers = prices[:n] + value[c - lengths[:n]]
             best = int(offers.argmax())
             if offers[best] > value[c]:
                 value[c], pick[c] = offers[best], best
+    return value, pick
+
+
+def configuration(first: int, pick: np.ndarray, lengths: np.ndarray, by_value: np.ndarray, supply: np.ndarray, capacity: int) -> np.ndarray:
+    """The most valuable multiset that holds length ``first``, with at most ``supply`` of each; room that this frees is filled again."""
     out = np.zeros(len(lengths), dtype=np.int64)
-    c = capacity
+    out[first], room, c = 1, capacity - int(lengths[first]), capacity - int(lengths[first])
     while c > 0:
-        if pick[c] < 0:
+        at = int(pick[c])
+        if at < 0:
             c -= 1
-        else:
-            out[pick[c]] += 1
-            c -= int(lengths[pick[c]])
-    out = np.minimum(out, supply)
-    room = capacity - int((out * lengths).sum())
-    for at in np.argsort(-prices / lengths, kind="stable"):
-        if lengths[at] <= room and out[at] < supply[at]:
-            more = min(int(supply[at] - out[at]), room // int(lengths[at]))
-            out[at] += more
-            room -= more * int(lengths[at])
-    return out
-
-
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 160, step: float = 0.35) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how many containers use each; together they hold exactly the histogram's items."""
-    lengths = np.array(sorted(h for h in histogram if 0 < h <= capacity and histogram[h] > 0), dtype=np.int64)
-    if not len(lengths):
-        return []
-    demand = np.array([histogram[int(h)] for h in lengths], dtype=np.int64)
-    # equal demand vectors of multiplicative weights: one constraint per length
-    weight = demand * lengths / (demand * lengths).sum()
-    found: dict[bytes, np.ndarray] = {}
-    used: dict[bytes, float] = {}
+            continue
+        c -= int(lengths[at])
+        if out[at] < supply[at]:
+            out[at] += 1
+            room -= int(lengths[at])
+    while True:  # the largest lengths that fit, so that little stays free
+        fits = np.flatnonzero((lengths <= room) & (out < supply))
+        if not len(fits):
+            return out
+        at = int(fits[-1])
+        out[at] += 1
+        room -= int(lengths[at])
+
+
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, each: int, step: float, near: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """The covering LP by multiplicative weights: configurations and how often each is used, together about the demand.
+
+    A length's weight falls with how far it is covered. Each round prices the configurations once and takes, of the best ones that
+    hold each of the ``each`` lengths of the highest weight, those within ``near`` of the best price.
+    """
+    weight = np.ones(len(lengths))
+    covered = np.zeros(len(lengths))
+    found: dict[bytes, int] = {}
+    configs: list[np.ndarray] = []
+    uses: list[float] = []
     for _ in range(rounds):
-        config = best_configuration(lengths, weight / demand, demand, capacity)
-        key = config.tobytes()
-        found[key] = config
-        load = config / demand
-        size = 1.0 / load.max()  # the most uses before one length is fully covered
-        used[key] = used.get(key, 0.0) + size
-        weight = weight * np.exp(-step * load * size)
-        weight /= weight.sum()
-    configs = np.stack(list(found.values()))
-    uses = np.array([used[k] for k in found])
-    cover = (configs * uses[:, None]).sum(axis=0) / demand
-    uses = uses / max(cover.max(), 1e-12)  # feasible as a packing: no length is used more often than it occurs
-    plan: list[tuple[dict[int, int], int]] = []
-    left = demand.copy()
-    for at in np.argsort(-uses, kind="stable"):
-        take = int(np.floor(uses[at] + 1e-9))
-        nz = configs[at] > 0
-        take = min(take, int((left[nz] // configs[at][nz]).min())) if nz.any() else 0
-        if take:
-            left = left - take * configs[at]
-            plan.append(({int(lengths[i]): int(configs[at][i]) for i in np.flatnonzero(nz)}, take))
-    # what is left over: greedy containers, each filled best by the largest lengths that still fit
+        prices = weight * lengths / lengths.sum()
+        value, pick = knapsack(lengths, prices, capacity)
+        tried = [configuration(int(first), pick, lengths, prices, demand, capacity) for first in np.argsort(-weight, kind="stable")[:each]]
+        worth = np.array([c @ prices for c in tried])
+        # those that come near the best price; supply may keep all from it, then the best of them
+        for config in (c for c, w in zip(tried, worth) if w >= (1 - near) * min(value[capacity], worth.max())):
+            load = config / demand
+            amount = 1.0 / (load.max() * max(1, rounds // 8))
+            at = found.setdefault(config.tobytes(), len(configs))
+            if at == len(configs):
+                configs.append(config)
+                uses.append(0.0)
+            uses[at] += amount
+            covered += load * amount
+        weight = np.exp(-step * (covered - covered.min()))
+    x = np.array(uses)
+    return np.stack(configs), x * (demand * lengths).sum() / max(1e-12, (np.stack(configs) @ lengths * x).sum())
+
+
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 16, each: int = 32, step: float = 2.0, waste: float = 0.01, little: float = 0.004) -> list[tuple[dict[int, int], int, str]]:
+    """Configurations, how many containers use each, and what they come from; together they hold exactly the histogram's items.
+
+    'lp': rounded from the fractional solution, which is solved again for what is left until that is ``little`` of all.
+    A use is rounded down; what that leaves is taken by the configurations of the largest remainders, whole, as the supply
+    allows, if they leave at most ``waste`` of a container free. 'rest': the last few, filled one by one with the largest
+    lengths that fit.
+    """
+    lengths = np.array(sorted(h for h in histogram if 0 < h <= capacity and histogram[h] > 0), dtype=np.int64)
+    left = np.array([histogram[int(h)] for h in lengths], dtype=np.int64)
+    plan: list[tuple[dict[int, int], int, str]] = []
+
+    def take(at: np.ndarray, config: np.ndarray, times: int, source: str) -> None:
+        nz = np.flatnonzero(config)
+        plan.append(({int(lengths[at[i]]): int(config[i]) for i in nz}, times, source))
+        left[at[nz]] -= times * config[nz]
+
+    most = little * int((lengths * left).sum())
+    while left.any():
+        at = np.flatnonzero(left)
+        if plan and int((lengths * left).sum()) <= most:
+            break
+        # few lengths need more rounds until their prices tell them apart
+        configs, uses = fractional(lengths[at], left[at], capacity, rounds if len(at) > each else 10 * rounds, min(each, len(at)), step)
+        free = capacity - configs @ lengths[at]
+        before = left.sum()
+        for whole in (True, False):
+            # full containers first, then by use, or by what rounding down left of it
+            for k in np.lexsort((-uses if whole else np.floor(uses) - uses, free > waste * capacity)):
+                nz = configs[k] > 0
+                room = int((left[at][nz] // configs[k][nz]).min())
+                times = min(room, int(uses[k])) if whole else min(room, 1) if free[k] <= waste * capacity else 0
+                if times:
+                    take(at, configs[k], times, "lp")
+        if left.sum() == before:
+            break
     while left.any():
-        config = np.zeros(len(lengths), dtype=np.int64)
-        room, at = capacity, int(np.flatnonzero(left)[-1])
-        while at >= 0:
-            n = min(int(left[at] - config[at]), room // int(lengths[at]))
-            config[at] += n
-            room -= n * int(lengths[at])
-            fits = np.flatnonzero((left - config > 0) & (lengths <= room))
-            at = int(fits[-1]) if len(fits) else -1
+        at = np.flatnonzero(left)
+        config = configuration(len(at) - 1, np.full(capacity + 1, -1, dtype=np.int64), lengths[at], lengths[at], left[at], capacity)
         nz = config > 0
-        take = int((left[nz] // config[nz]).min())
-        left = left - take * config
-        plan.append(({int(lengths[i]): int(config[i]) for i in np.flatnonzero(nz)}, take))
+        take(at, config, int((left[at][nz] // config[nz]).min()), "rest")
     return plan
 
 
-def pack(items: DataFrame, *, id_col: str = "doc_id", size_col: str = "tokens", capacity: int = 2048, rounds: int = 160) -> DataFrame:
+def pack(items: DataFrame, *, id_col: str = "doc_id", size_col: str = "tokens", capacity: int = 2048) -> DataFrame:
     """Containers of all items: (id, piece_no, size, container_id).
 
     An item over the capacity is divided into full containers and one rest; no other item is divided. Items of null or
@@ -119,11 +150,11 @@ def pack(items: DataFrame, *, id_col: str = "doc_id", size_col: str = "tokens",
     pieces = cut(pieces.withColumn("_part", F.spark_partition_id()))
     counts = pieces.where("size > 0").groupBy("size", "_part").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    plan = solve(histogram, capacity, rounds)
+    plan = solve(histogram, capacity)
     slots: dict[int, list[tuple[int, int, int]]] = {}
     nxt: dict[int, int] = {}
     base = 0
-    for config, uses in plan:
+    for config, uses, _ in plan:
         for length, per in config.items():
             slots.setdefault(length, []).append((nxt.get(length, 0), base, per))
             nxt[length] = nxt.get(length, 0) + per * uses

@@ -84,16 +84,16 @@ def test_budget(spark):
 def check_plan(histogram, capacity):
     plan = packing.solve(histogram, capacity)
     held = {}
-    for config, uses in plan:
+    for config, uses, _ in plan:
         assert sum(k * v for k, v in config.items()) <= capacity
         for k, v in config.items():
             held[k] = held.get(k, 0) + v * uses
     assert held == {k: v for k, v in histogram.items() if 0 < k <= capacity and v}
-    return sum(uses for _, uses in plan)
+    return sum(uses for _, uses, _ in plan)
 
 
 def test_solver():
-    assert packing.solve({}, 10) == []
+    assert packing.solve({}, 10) == [] and packing.solve({11: 4, 0: 3, 5: 0}, 10) == []
     assert check_plan({10: 3}, 10) == 3
     assert check_plan({5: 7}, 10) == 4
     assert check_plan({6: 10, 4: 10}, 10) == 10
@@ -109,6 +109,20 @@ def test_solver():
         assert check_plan(h, capacity) <= max(least, big) * 1.02 + 1
 
 
+def test_the_program_carries_the_packing():
+    # nearly all containers are rounded configurations, at any number of items, within 1 % of the lower bound
+    rng = random.Random(6)
+    for times in (1, 10, 100):
+        h = {}
+        for _ in range(4000):
+            n = min(512, int(rng.lognormvariate(4, 0.8)) + 1)
+            h[n] = h.get(n, 0) + times
+        plan = packing.solve(h, 512)
+        total = sum(uses for _, uses, _ in plan)
+        assert sum(uses for _, uses, source in plan if source == "lp") >= 0.95 * total
+        assert total <= 1.01 * -(-sum(k * v for k, v in h.items()) // 512)
+
+
 def test_pack(spark):
     rng = random.Random(4)
     rows = [(i, rng.randint(1, 90)) for i in range(400)] + [(500, 250), (501, 0), (502, None), (503, 100), (503, 100), (None, 5)]
