@@ -2,8 +2,8 @@
 
 A suspicious token becomes a lattice over its characters. Arcs keep a character, read several characters back as the
 bytes they came from, or stand for lost bytes (a wildcard over the letters that can be there). A beam Viterbi search
-takes the path that is best under the channel's costs and the word frequencies of the whole corpus. The frequencies
-live in a count sketch of fixed size, made over all documents.
+takes the path that is best under the channel's costs and the word frequencies of the whole corpus, which count inside the
+search, at the end of each word. The frequencies live in a count sketch of fixed size, made over all documents.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,10 @@ TOKEN = re.compile(r"[^ \t\r\n]+")
 ENTITY = re.compile(r"&(?:[A-Za-z]+[0-9]*|#[0-9]+|#x[0-9A-Fa-f]+);")
 UTF7 = re.compile(r"\+([A-Za-z0-9/]{3,})-?")
 BEAM = 48
+#: The sign for a lost character, and the wildcard that stands for it in the lattice.
+LOST, ANY = "\ufffd", "\ufffc"
+#: Wildcards in one word that are filled by looking up all words that fit, the fewest times such a word occurs, and how many go on.
+WILDCARDS, KNOWN, FILLS = 2, 2, 4
 INNER = re.compile(r"\w[¿¡„«“»”…‘°€—–](?=\w)")
 #: Log of the corpus size that a word's frequency is held against; a path pays it for each word.
 WORD_COST = 14.0
@@ -80,6 +85,10 @@ def _script(c: str) -> str:
     return "other"
 
 
+def _stray(c: str) -> bool:
+    return ord(c) > 127 and not c.isalpha() and c not in PUNCT and c != ANY
+
+
 def _plausible(c: str) -> bool:
     o = ord(c)
     return c in PUNCT or (0xA1 <= o < 0x180 and (c.isalpha())) or _script(c) in ("east", "cyrillic", "greek") or 0x3000 <= o <= 0x303F or 0x1F300 <= o < 0x1FAFF
@@ -194,33 +203,84 @@ class Restorer:
             pairs.append(table)
         self.western = pairs
 
+    def word_score(self, w: str) -> float:
+        """Log likelihood of one word: its frequency in the corpus, less what speaks against it as a word."""
+        total = math.log(self.freq(w.lower()) + 0.05) - WORD_COST
+        if len({s for s in map(_script, w) if s}) > 1:
+            total -= 6.0
+        return total - 0.8 * sum(b.isupper() and a.islower() and ord(b) > 127 for a, b in zip(w, w[1:]))
+
     def score(self, text: str) -> float:
         """Log likelihood of the words of a token; letters of several scripts in one word and stray symbols count against it."""
-        total = -7.0 * sum(ord(c) > 127 and not c.isalpha() and c not in PUNCT for c in text)
-        for w in WORD.findall(text):
-            total += math.log(self.freq(w.lower()) + 0.05) - WORD_COST
-            scripts = {s for s in map(_script, w) if s}
-            if len(scripts) > 1:
-                total -= 6.0
-            total -= 0.8 * sum(b.isupper() and a.islower() and ord(b) > 127 for a, b in zip(w, w[1:]))
-        return total
+        return -7.0 * sum(map(_stray, text)) + sum(map(self.word_score, WORD.findall(text)))
+
+    def _filled(self, word: str) -> list[tuple[str, float]]:
+        """A word with wildcards as the words of the corpus that fit it: (text, score), best first, at most ``FILLS``.
+
+        Wildcards stay sets of letters until the whole word is read; then every filling is looked up. What no known word fits
+        keeps U+FFFD, and so does a word with more than ``WILDCARDS``: too many words would fit it.
+        """
+        n = word.count(ANY)
+        lost = (word.replace(ANY, LOST), -9.0 * n + sum(map(self.word_score, WORD.findall(word.replace(ANY, LOST)))))
+        if not n:
+            return [(word, self.word_score(word))]
+        parts = word.split(ANY)
+        elided = parts[0].lower() in ELIDED  # what follows is a word of its own
+        if n > WILDCARDS + elided:
+            return [lost]
+        choices = []
+        for k, (left, right) in enumerate(zip(parts, parts[1:])):
+            before, after = left or k > 0, right or k + 2 < len(parts)
+            capital = not before or left[-1:].isupper()
+            letters = [c for c in WILD if c.isalpha() and (c.islower() or capital)]
+            choices.append(["’"] if n > WILDCARDS and k == 0 else letters + (["’"] if before and after else list("“„«¿¡‘") if after else list("”»’…") if before else list("–—…€°«»")))
+        found = []
+        for filling in product(*choices):
+            text = "".join(a + b for a, b in zip(parts, (*filling, "")))
+            pieces = WORD.findall(text)
+            counts = [self.freq(w.lower()) for w in pieces]
+            # single letters and short pieces fit anything: they prove nothing
+            if counts and min(counts) >= KNOWN and (len(pieces) == 1 or max(map(len, pieces)) >= 3) and word.strip(ANY):
+                found.append((text, sum(map(self.word_score, pieces)) - 2.0 * n))
+        return sorted(found, key=lambda f: -f[1])[:FILLS] + [lost]
 
     def _paths(self, token: str) -> list[tuple[str, float, bool]]:
-        """Best readings of a token: (text, channel cost, whether some arc read bytes back)."""
+        """Best readings of a token: (text, channel cost, whether some arc read bytes back).
+
+        Viterbi over the lattice of its characters with a beam: a state is the text up to its last whole word, the open word, and
+        its score under the channel and the corpus' word frequencies, which each word adds as it ends.
+        """
         leads = _leads()
-        states: list[list[tuple[str, float, bool]]] = [[] for _ in range(len(token) + 1)]
-        states[0] = [("", 0.0, False)]
+        states: list[dict[tuple[str, str, bool], tuple[float, float]]] = [{} for _ in range(len(token) + 1)]
+        states[0][("", "", False)] = (0.0, 0.0)
+
+        def reach(to: int, key: tuple[str, str, bool], score: float, cost: float) -> None:
+            known = states[to].get(key)
+            if known is None or score > known[0]:
+                states[to][key] = (score, cost)
+
+        def extend(to: int, done: str, word: str, read: bool, score: float, cost: float, piece: str) -> None:
+            ways = [(done, word, score)]
+            for char in piece:
+                if char == ANY or char.isalnum():
+                    ways = [(d, w + char, s) for d, w, s in ways]
+                else:
+                    stray = 7.0 * _stray(char)
+                    ways = [(d + text + char, "", s + add - stray) for d, w, s in ways for text, add in (self._filled(w) if w else [("", 0.0)])]
+            for d, w, s in ways:
+                reach(to, (d, w, read), s, cost)
+
         for i, c in enumerate(token):
-            here = sorted(states[i], key=lambda s: s[1])[:BEAM] if len(states[i]) > BEAM else states[i]
+            here = states[i].items()
+            if len(here) > BEAM:
+                here = sorted(here, key=lambda kv: -kv[1][0])[:BEAM]
             if not here:
                 continue
             arcs: list[tuple[int, str, float, bool]] = [(i + 1, c, 0.0, False)]
-            if c == "�":
-                arcs = [(i + 1, c, 9.0, True)]
-                arcs += [(i + 1, w, 2.0 + 0.02 * k, True) for k, w in enumerate(WILD)]
-                if token[i + 1 : i + 2] == "�":
-                    run = len(token) - i - len(token[i:].lstrip("�"))
-                    arcs += [(i + n, w, 2.0 + 0.02 * k, True) for n in (2, 3) if n <= run for k, w in enumerate(WILD) if len(w.encode()) == n]
+            if c == LOST:
+                # one lost character for each sign, or one for the two or three bytes that it had
+                run = len(token) - i - len(token[i:].lstrip(LOST))
+                arcs = [(i + n, ANY, 0.0, True) for n in (1, 2, 3) if n <= run]
             for codec, lead in leads.get(c, ()):
                 need = 1 if lead < 0xE0 else 2 if lead < 0xF0 else 3
                 table = _byte_of(codec)
@@ -245,8 +305,16 @@ class Restorer:
                         if len(enc) == need + 1 and list(enc[: len(raw)]) == raw:
                             arcs.append((i + len(raw), w, 3.0 if need == 1 else -1.0, True))
             for to, text, cost, read in arcs:
-                states[to] += [(s + text, k + cost, f or read) for s, k, f in here]
-        return sorted(states[-1], key=lambda s: s[1])[: BEAM * 4]
+                for (done, word, was), (score, paid) in here:
+                    extend(to, done, word, was or read, score - cost, paid + cost, text)
+        last: dict[tuple[str, bool], tuple[float, float]] = {}
+        for (done, word, read), (score, cost) in states[-1].items():
+            for text, add in self._filled(word) if word else [("", 0.0)]:
+                key = (done + text, read)
+                if key not in last or score + add > last[key][0]:
+                    last[key] = (score + add, cost)
+        ranked = sorted(last.items(), key=lambda kv: -kv[1][0])[: BEAM * 4]
+        return [(text, cost, read) for (text, read), (_, cost) in ranked]
 
     def _once(self, token: str) -> tuple[str, bool]:
         fixed, n = _swapped(token)
@@ -267,14 +335,14 @@ class Restorer:
         best, flagged = token, False
         if "�" in token or any(c in _leads() for c in token):
             own = self.score(token)
-            top = own - (9.0 * token.count("�"))
+            top = own - 9.0 * token.count(LOST)
             for text, cost, read in self._paths(token):
                 if not read or text == token:
                     continue
                 if not self._coherent(token, text):
                     continue
                 cost += 3.0 * len(INNER.findall(text)) + 2.0 * (text[-1] in OPENING or text[0] in CLOSING)
-                s = self.score(text) - cost
+                s = self.score(text) - cost - 9.0 * text.count(LOST) - 2.0 * (token.count(LOST) > text.count(LOST))
                 if s > top + 1.0:
                     top, best, flagged = s, text, True
             if "�" in token:

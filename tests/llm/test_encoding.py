@@ -90,3 +90,36 @@ def test_word_counts(spark):
     df = spark.createDataFrame([("a b a",), (None,), ("B",)], "t string")
     f = E.Frequencies(E.word_frequencies(df, "t", bits=10))
     assert (f("a"), f("b")) == (2, 2)
+
+
+def test_lost_letters_come_from_words_of_the_corpus():
+    # the right word is in the table: it is found, at any number of other words; otherwise the sign for a lost letter stays
+    known = {w: 50 for w in "überprüfung señalización élève répétition größe übung eberprefung".split()} | {"für": 900, "fur": 3}
+    r = E.Restorer(lambda w: known.get(w, 0))
+    for bad, good in [("�berpr�fung", "überprüfung"), ("�berpr�fung,", "überprüfung,"), ("se�alizaci�n", "señalización"), ("R�p�tition", "Répétition"), ("gr��e", "größe"), ("gr����e", "größe"), ("�bung", "übung"), ("l’�l�ve", "l’élève"), ("l��l�ve", None), ("f�r", "für")]:
+        fixed, n = r.text(bad)
+        assert n == 1 and (fixed == good if good else "�" in fixed or fixed == "l’élève"), (bad, fixed)
+    for unknown in ("qu�rz�x", "b�d", "z�z�z�z"):
+        assert r.text(unknown) == (unknown, 1)
+
+
+def test_restored_equals_the_original_on_planted_damage(spark):
+    # sentences of a corpus, damaged in known ways; what is restored is compared with what was there
+    rng = random.Random(9)
+    words = " ".join(CLEAN.values()).split()
+    sentences = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(400)]
+    table = {c: {v: k for k, v in E._byte_of(c).items()} for c in ("cp1252", "mac_roman", "cp437")}
+
+    def damage(text, how):
+        if how == "lost":
+            return "".join(c if ord(c) < 128 or rng.random() < 0.4 or c in "“”—" else "�" for c in text)
+        return "".join(chr(b) if b < 128 else table[how][b] for b in text.encode())
+
+    planted = [(1000 + i, damage(s, how), s) for i, (s, how) in enumerate(zip(rng.sample(sentences, 200), ["cp1252", "mac_roman", "cp437", "lost"] * 50))]
+    planted = [p for p in planted if p[1] != p[2]]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sentences)] + [p[:2] for p in planted], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in E.restore_encoding(df).collect()}
+    assert set(got) == {p[0] for p in planted}
+    whole = [p for p in planted if got[p[0]]["lost"] == 0]
+    assert len(whole) >= 0.95 * len(planted)
+    assert sum(got[i]["restored"] == s for i, _, s in whole) >= 0.99 * len(whole)
