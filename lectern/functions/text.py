@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,11 +57,22 @@ def chunks(value: Text, size: int = 800, overlap: int = 200) -> Column:
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be shorter than the chunk")
     step = size - overlap
+    behind = -(-overlap // step)  # blocks after its own that a window reaches into
+
+    def windows(text: Column) -> Column:
+        last = F.greatest(F.ceil((F.length(text) - overlap) / F.lit(step)), F.lit(1)).cast("int") - 1
+        # the text is read once into blocks of a step; a window is its block and the beginning of the next
+        cut = lambda blocks: F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.substring(F.array_join(F.slice(blocks, i + 1, behind + 1), ""), 1, size)))
+        parts = _bound(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % step), F.lit(0)), cut)
+        return F.when(last == 0, F.array(text)).otherwise(F.filter(parts, lambda c: c != ""))
+
     text = strip(value)
-    last = F.greatest(F.ceil((F.length(text) - overlap) / F.lit(step)), F.lit(1)).cast("int") - 1
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.substring(text, i * step + 1, F.lit(size))))
-    kept = F.when(last == 0, F.array(text)).otherwise(F.filter(cut, lambda c: c != ""))
-    return F.when(text.isNotNull(), F.transform(kept, lambda c, i: F.struct(i.alias("ordinal"), c.alias("chunk"))))
+    return F.when(text.isNotNull(), F.transform(_bound(text, windows), lambda c, i: F.struct(i.alias("ordinal"), c.alias("chunk"))))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def video_id(url: Text, strict: bool = False) -> Column:
