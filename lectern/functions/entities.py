@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
 from itertools import chain
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,7 +22,6 @@ TYPES = {
 }
 TYPE_OF = {word: name for name, listed in TYPES.items() for word in listed}
 ENTITIES = "array<struct<name:string,type:string,aliases:array<string>>>"
-FENCE = re.compile(r"```[A-Za-z]*\s*(.*?)(?:```|\Z)", re.S)
 
 
 def entity_type(raw: Text) -> Column:
@@ -35,72 +30,30 @@ def entity_type(raw: Text) -> Column:
     return F.element_at(table, F.lower(strip(F.coalesce(col(raw), F.lit("")))))
 
 
-def _payload(raw: str, strict_parity: bool) -> object:
-    """The JSON value in a response, or None.
+#: Where the JSON of a response may stand, whatever is written around it: an object that no list precedes, a list of objects, any list.
+SPANS = (r"(?s)^[^\[{]*(\{.*\})", r"(?s)(\[\s*\{.*\}\s*\])", r"(?s)(\[.*\])")
 
-    strict_parity keeps a known weakness of the format's origin: only a response that begins with a json fence is
-    unwrapped, and any other fence cuts off what follows it.
-    """
-    text = raw.strip()
-    if "```" in text:
-        if strict_parity:
-            text = text.removeprefix("```json").lstrip()
-            text = text.partition("```")[0].strip()
-        elif m := FENCE.search(text):
-            text = m.group(1).strip() or text
-    tries = []
-    first, last = text.find("["), text.rfind("]")
-    if 0 <= first < last:
-        tries.append(text[first : last + 1])
-    elif "{" in text:
-        tries.append(text[text.index("{") :])
-    if not strict_parity and "{" in text and (first < 0 or text.index("{") < first):
-        tries.insert(0, text[text.index("{") : text.rfind("}") + 1])
-    for part in tries:
-        try:
-            return json.loads(part)
-        except ValueError:
-            continue
-    return None
-
-
-def parse_entities(raw: str | None, strict_parity: bool = False, unknown_type: str = "keep") -> list[dict]:
-    """Entities of one response; unusable parts are left out, an unusable response gives none.
-
-    unknown_type: 'keep' leaves a type outside of the vocabulary as it is ('concept' if empty), 'drop' leaves the entity out.
+
+def entities_from_response(raw: Text, unknown_type: str = "keep") -> Column:
+    """Entities of a response: a JSON list of objects, an object that holds one, or one object, with or without text around it.
+
+    Unusable parts are left out, an unusable response gives none. A name is required; of the aliases only texts count, blank ones
+    not. unknown_type: 'keep' leaves a type outside of the vocabulary as it is ('concept' if empty), 'drop' leaves the entity out.
     """
-    if not raw or not raw.strip():
-        return []
-    data = _payload(raw, strict_parity)
-    if isinstance(data, dict):
-        if not strict_parity and "name" in data:
-            data = [data]
-        else:
-            data = data.get("entities") or data.get("entity")
-    out = []
-    for item in data if isinstance(data, list) else ():
-        name = str(item.get("name", "")).strip() if isinstance(item, dict) else ""
-        if not name:
-            continue
-        kind = str(item.get("type", "")).strip()
-        known = TYPE_OF.get(kind.lower())
-        if known is None and unknown_type == "drop":
-            continue
-        aliases = item.get("aliases")
-        listed = [a.strip() for a in aliases if isinstance(a, str) and a.strip()] if isinstance(aliases, list) else []
-        out.append({"name": name, "type": known or kind or "concept", "aliases": listed})
-    return out
-
-
-def entities_from_response(raw: Text, strict_parity: bool = False, unknown_type: str = "keep") -> Column:
-    """``parse_entities`` over a column, in Arrow batches."""
-
-    @F.pandas_udf(ENTITIES)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(lambda r: parse_entities(r, strict_parity, unknown_type))
-
-    return run(col(raw))
+    parsed = F.coalesce(*[F.try_parse_json(F.regexp_extract(col(raw), span, 1)) for span in SPANS])
+    listed = lambda v, path: F.try_variant_get(v, path, "array<variant>")
+    text = lambda v, path: strip(F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")))
+    items = lambda v: F.coalesce(listed(v, "$"), listed(v, "$.entities"), listed(v, "$.entity"), F.array(v))
+
+    def entity(v: Column) -> Column:
+        kind = text(v, "$.type")
+        aliases = F.filter(F.coalesce(listed(v, "$.aliases"), F.expr("cast(array() as array<variant>)")), lambda a: F.schema_of_variant(a) == "STRING")
+        named = F.filter(F.transform(aliases, lambda a: strip(F.try_variant_get(a, "$", "string"))), lambda a: a != "")
+        known = F.coalesce(entity_type(kind), F.lit(None) if unknown_type == "drop" else F.when(kind == "", "concept").otherwise(kind))
+        return F.struct(text(v, "$.name").alias("name"), known.alias("type"), named.alias("aliases"))
+
+    every = F.transform(F.element_at(F.transform(F.array(parsed), items), 1), entity)
+    return F.coalesce(F.filter(every, lambda e: (e["name"] != "") & e["type"].isNotNull()), F.array().cast(ENTITIES))
 
 
 def questions_from_response(raw: Text, most: int = 10) -> Column:

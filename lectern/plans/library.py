@@ -219,11 +219,16 @@ def listed_questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def response_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Entity rows as a response (JSON) and parsed back: counts per video."""
+    """Entity rows as responses in each form (fenced list, object, bare list in text, lone object, cut off) and parsed back: counts per video and form."""
     rows = table(spark, d, "entities").where("video_id is not null and name is not null")
     one = F.to_json(F.struct("name", "type", "aliases"))
-    parsed = rows.select("video_id", F.explode(E.entities_from_response(F.concat(F.lit("```json\n["), one, F.lit("]\n```")))).alias("e"))
-    return parsed.groupBy("video_id").agg(F.count(F.lit(1)).alias("entities"), F.sum(F.size("e.aliases")).alias("aliases"))
+    forms = {
+        "fenced": F.concat(F.lit("```json\n["), one, F.lit("]\n```")), "object": F.concat(F.lit('{"entities": ['), one, F.lit(", "), one, F.lit("]}")),
+        "bare": F.concat(F.lit("Here you are: ["), one, F.lit("] - done")), "lone": one, "broken": F.expr("substring(" + "to_json(struct(name, type, aliases)), 1, 9)"),
+    }
+    each = rows.select("video_id", F.explode(F.array(*[F.struct(F.lit(n).alias("form"), r.alias("raw")) for n, r in forms.items()])).alias("r")).select("video_id", "r.*")
+    parsed = each.select("video_id", "form", F.explode(E.entities_from_response("raw")).alias("e"))
+    return parsed.groupBy("video_id", "form").agg(F.count(F.lit(1)).alias("entities"), F.sum(F.size("e.aliases")).alias("aliases"))
 
 
 def brief_sections(spark: SparkSession, d: str) -> DataFrame:

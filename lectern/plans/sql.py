@@ -132,8 +132,8 @@ LIBRARY: dict[str, str] = {
             FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split_regex(text, '{BREAK}') AS ls FROM documents WHERE doc_kind = 'question_list' AND text IS NOT NULL))
         ) WHERE q LIKE '%?'""",
     "response_entities": f"""
-        SELECT video_id, count(*) AS entities, sum(len(list_filter(coalesce(aliases, []), lambda a: {strip('a')} <> '')))::BIGINT AS aliases
-        FROM entities WHERE video_id IS NOT NULL AND name IS NOT NULL AND {strip('name')} <> '' GROUP BY video_id""",
+        SELECT video_id, f.form, count(*) * f.n AS entities, (sum(len(list_filter(coalesce(aliases, []), lambda a: {strip('a')} <> ''))) * f.n)::BIGINT AS aliases
+        FROM entities CROSS JOIN (VALUES ('fenced', 1), ('object', 2), ('bare', 1), ('lone', 1)) f(form, n) WHERE video_id IS NOT NULL AND name IS NOT NULL AND {strip('name')} <> '' GROUP BY video_id, f.form, f.n""",
     "brief_sections": f"""
         WITH l AS (SELECT id, trim(unnest(ls)) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT id, string_split_regex(shorty, '{BREAK}') AS ls FROM transcripts WHERE NOT {blank('shorty')})),
         h AS (SELECT id, line, i, CASE WHEN regexp_matches(line, '\\p{{Lu}}') AND NOT regexp_matches(line, '[\\p{{Ll}}:]') AND NOT regexp_matches(line, '^[\\d\\-]') THEN line END AS head FROM l WHERE line <> ''),

@@ -1,34 +1,25 @@
 import json
 
-import pytest
-
 from lectern.functions import entities as E
 
 ONE = json.dumps({"name": " A ", "type": "agency", "aliases": ["x", " ", 3]})
 GOOD = [{"name": "A", "type": "organization", "aliases": ["x"]}]
 
 
-@pytest.mark.parametrize("raw", [f"[{ONE}]", f"text [{ONE}] more", '{"entities": [%s]}' % ONE, f"```json\n[{ONE}]\n```"])
-@pytest.mark.parametrize("strict", [True, False])
-def test_usable_responses(raw, strict):
-    assert E.parse_entities(raw, strict) == GOOD
-
-
-@pytest.mark.parametrize("raw", [f"```\n[{ONE}]\n```", f"Here:\n```json\n[{ONE}]\n```", ONE])
-def test_responses_that_only_the_lenient_parser_reads(raw):
-    assert E.parse_entities(raw) == GOOD
-    assert E.parse_entities(raw, strict_parity=True) == []
+USABLE = [f"[{ONE}]", f"text [{ONE}] more", '{"entities": [%s]}' % ONE, '{"entity": [%s]}' % ONE, f"```json\n[{ONE}]\n```", f"```\n[{ONE}]\n```", f"Here:\n```json\n[{ONE}]\n```", ONE, f"as of [1]: [{ONE}]", f"[3, {ONE}, null, [], {{}}]"]
+UNUSABLE = [None, "", " ", '{"entities":[]}', '[{"name":" "},3]', "[{]", "none", "[1, 2]", "```", "[" * 2000, '{"name": null}']
 
 
-@pytest.mark.parametrize("raw", [None, "", " ", '{"entities":[]}', '[{"name":" "},3]', "[{]", "none", "[1, 2]"])
-def test_unusable_responses(raw):
-    assert E.parse_entities(raw) == []
+def test_responses(spark):
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(USABLE + UNUSABLE)], "i int, r string")
+    got = {r["i"]: [e.asDict() for e in r["e"]] for r in df.select("i", E.entities_from_response("r").alias("e")).collect()}
+    assert got == {i: GOOD if i < len(USABLE) else [] for i in range(len(USABLE + UNUSABLE))}
 
 
-def test_unknown_types():
-    raw = '[{"name":"a","type":"Gadget"},{"name":"b"}]'
-    assert [e["type"] for e in E.parse_entities(raw)] == ["Gadget", "concept"]
-    assert E.parse_entities(raw, unknown_type="drop") == []
+def test_unknown_types(spark):
+    df = spark.createDataFrame([('[{"name":"a","type":"Gadget"},{"name":"b"},{"name":7,"type":"App"}]',)], "r string")
+    assert [(e["name"], e["type"]) for e in df.select(E.entities_from_response("r")).first()[0]] == [("a", "Gadget"), ("b", "concept"), ("7", "software")]
+    assert [e["name"] for e in df.select(E.entities_from_response("r", unknown_type="drop")).first()[0]] == ["7"]
 
 
 def test_columns(spark):
