@@ -152,13 +152,15 @@ def leaked_passages(
     n: int = 13,
     shard_symbols: int = 400_000,
     block_items: int = 5_000,
+    block_chars: int = 4_000_000,
 ) -> DataFrame:
     """Spans (doc_id, item_id, words, start_char, end_char) of documents that hold n or more consecutive words of an item.
 
     Case, accents, punctuation and white space do not count. Overlapping phrases of one document and item are merged to
     one span; one row per span. Passages under n words, null texts and null passages match nothing; a null doc id
-    keeps its null id. Repeated rows give repeated spans. Items are a stated query set, taken in blocks of
-    ``block_items`` (the bound of what is broadcast at a time); every block runs over all documents. No shuffle.
+    keeps its null id. Repeated rows give repeated spans. Items are a stated query set, taken in blocks of at most
+    ``block_items`` items and ``block_chars`` characters (a longer passage is a block of its own), which bounds what is
+    broadcast at a time; every block runs over all documents. No shuffle.
     """
     spark = docs.sparkSession
     source = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -242,12 +244,14 @@ def leaked_passages(
         return source.mapInArrow(find, "doc_id long, item_id long, words int, start_char int, end_char int")
 
     rows = items.where(F.col(item_col).isNotNull() & F.col(passage_col).isNotNull()).select(F.col(item_col).cast("long"), passage_col)
+    held = 0
     for row in rows.toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) >= block_items:
+        if block and (len(block) >= block_items or held + len(row[1]) > block_chars):
             part = run_block(block)
             result = part if result is None else result.unionByName(part)
-            block = []
+            block, held = [], 0
+        block.append((row[0], row[1]))
+        held += len(row[1])
     if block or result is None:
         part = run_block(block)
         result = part if result is None else result.unionByName(part)

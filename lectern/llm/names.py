@@ -98,10 +98,12 @@ LONG = 40
 def deletes(word: str, most: int) -> set[str]:
     """The symmetric-delete neighbourhood: the word with up to ``most`` characters left out.
 
-    Words over ``LONG`` characters have too many of those; their beginning and their end stand for them.
+    Words over ``LONG`` characters have too many of those. Two edits leave their beginning, their middle or their end whole: these
+    stand for them, the middle at each place to which two edits before it can move it.
     """
     if len(word) > LONG:
-        return {word, "^" + word[:12], word[-12:] + "$"}
+        middle = len(word) // 2 - 6
+        return {word, "^" + word[:12], word[-12:] + "$"} | {"~" + word[middle + s : middle + s + 12] for s in range(-3, 4)}
     out, layer = {word}, {word}
     for _ in range(most):
         layer = {w[:i] + w[i + 1 :] for w in layer for i in range(len(w))}

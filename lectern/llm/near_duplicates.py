@@ -410,11 +410,12 @@ def near_duplicate_summary(docs: DataFrame, *, id_col: str = "id", **options: ob
     return joined.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
-def near_duplicate_classes(pairs: DataFrame, docs: DataFrame, *, id_col: str = "id", max_rounds: int = 60) -> DataFrame:
+def near_duplicate_classes(pairs: DataFrame, docs: DataFrame, *, id_col: str = "id", max_rounds: int = 200) -> DataFrame:
     """One row per document: (id, class_id, links). class_id is the least id that links reach.
 
     Label propagation with pointer jumping over the links; every round is cut to the shared folder, nothing is
-    collected. Documents without links form their own class with 0 links. Null ids are left out.
+    collected. Documents without links form their own class with 0 links. Null ids are left out. More than ``max_rounds`` rounds
+    (each at least doubles what a label has reached) raise instead of giving unfinished classes.
     """
     edges = cut(pairs.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).unionByName(pairs.select(F.col("id_b").alias("u"), F.col("id_a").alias("v"))).distinct())
     degree = edges.groupBy("u").agg(F.count(F.lit(1)).alias("links"))
@@ -428,6 +429,8 @@ def near_duplicate_classes(pairs: DataFrame, docs: DataFrame, *, id_col: str = "
         label = nxt.select("id", "lab")
         if not moved:
             break
+    else:
+        raise RuntimeError(f"the classes are not complete after {max_rounds} rounds")
     return (
         docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
         .join(label, "id", "left")

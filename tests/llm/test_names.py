@@ -163,3 +163,14 @@ def test_long_names(spark):
         totals = [sum(costs[i][j] for i, j in enumerate(p)) for p in N.permutations(range(7)) if all(costs[i][j] is not None for i, j in enumerate(p))]
         got = N._assign(costs)
         assert (got is None) == (not totals) and (got is None or sum(costs[i][j] for i, j in enumerate(got)) == min(totals))
+
+
+def test_long_words_share_a_key_after_any_two_edits():
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for _ in range(300):
+        word = "".join(rng.choice(letters) for _ in range(rng.randrange(N.LONG + 3, 90)))
+        other = word
+        for at in sorted(rng.sample(range(len(word)), 2), reverse=True):
+            other = other[:at] + rng.choice(["", rng.choice(letters), rng.choice(letters) + other[at]]) + other[at + 1 :]
+        assert N.deletes(word, 2) & N.deletes(other, 2)
