@@ -195,10 +195,10 @@ def link_ids(spark: SparkSession, d: str) -> DataFrame:
 
     Links are rewritten to the two forms that the rules know, as these tables use their own host.
     """
-    link = F.regexp_extract(F.col("text"), r"https?://clips\.example/(\S+)", 1)
-    url = F.concat(F.lit("https://www.youtube.com/"), link)
-    rows = table(spark, d, "documents").where(link != "")
-    return rows.select("doc_id", X.video_id(url).alias("loose_id"), X.video_id(url, strict=True).alias("strict_id"))
+    links = F.regexp_extract_all("text", F.lit(r"https?://clips\.example/(\S+)"), F.lit(1))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(links).alias("place", "link"))
+    url = F.concat(F.lit("https://www.youtube.com/"), "link")
+    return rows.select("doc_id", "place", X.video_id(url).alias("loose_id"), X.video_id(url, strict=True).alias("strict_id"))
 
 
 def entity_types(spark: SparkSession, d: str) -> DataFrame:

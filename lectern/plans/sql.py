@@ -121,9 +121,10 @@ LIBRARY: dict[str, str] = {
         SELECT video_id, {field('upload_date')} AS upload_date, TRY_CAST({field('view_count')} AS BIGINT) AS view_count,
                CASE WHEN json_valid(json_metadata) THEN coalesce(json_array_length(json_metadata, '$.tags'), 0) ELSE 0 END::INTEGER AS tags FROM videos""",
     "link_ids": r"""
-        SELECT doc_id, coalesce(nullif(regexp_extract(u, '(?:youtube\.com/watch\?v=|youtu\.be/|youtube\.com/embed/)([^&\n?#]+)', 1), ''), nullif(regexp_extract(u, 'youtube\.com/watch\?.*v=([^&\n?#]+)', 1), '')) AS loose_id,
+        SELECT doc_id, place, coalesce(nullif(regexp_extract(u, '(?:youtube\.com/watch\?v=|youtu\.be/|youtube\.com/embed/)([^&\n?#]+)', 1), ''), nullif(regexp_extract(u, 'youtube\.com/watch\?.*v=([^&\n?#]+)', 1), '')) AS loose_id,
                nullif(regexp_extract(u, '(?:youtube\.com/watch\?v=|youtu\.be/)([a-zA-Z0-9_-]{11})', 1), '') AS strict_id
-        FROM (SELECT doc_id, 'https://www.youtube.com/' || regexp_extract(text, 'https?://clips\.example/(\S+)', 1) AS u FROM documents WHERE regexp_extract(text, 'https?://clips\.example/(\S+)', 1) <> '')""",
+        FROM (SELECT doc_id, (i - 1)::INTEGER AS place, 'https://www.youtube.com/' || l AS u
+              FROM (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, 'https?://clips\.example/(\S+)', 1) AS ls FROM documents)))""",
     "entity_types": f"SELECT {TYPE_CASE} AS canonical, count(*) AS rows FROM entities GROUP BY 1",
     "entity_aliases": "SELECT DISTINCT id, coalesce(array_to_string(aliases, ', '), '') AS aliases FROM entities",
     "listed_questions": f"""
