@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from lectern.functions import entities as E
 from lectern.functions import text as X
+from lectern.functions.vectors import embed
 from lectern.operators import library as L
 from lectern.operators import versions as V
 from lectern.operators import writes as W
-from lectern.plans.sql import BREAK, WHITE, blank, strip
+from lectern.operators.providers import Extractive, generate
+from lectern.plans.sql import BREAK, WHITE, blank, chunks, strip
 from lectern.session import ensure_checkpoint_dir
 from lectern.sources import readers as S
+from lectern.streaming import queue as Q
 from lectern.tables import table
 
 PAGE, BATCH, LISTED = 50, 10, 500
@@ -229,12 +232,39 @@ def fetch_errors(spark: SparkSession, d: str) -> DataFrame:
     return told.select("id", X.fetch_error("error").alias("told"))
 
 
+def streamed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """New transcripts read as a stream, cut and embedded, each micro-batch written to the index; what the index then holds."""
+    folder = _folder(spark, "chunks")
+    rows = table(spark, d, "transcripts").where("false")
+    stream = Q.read_stream(spark, d, "transcripts.parquet", rows).where("text is not null")
+    made = stream.select("id", F.inline(X.chunks("text", 800, 200))).withColumn("embedding", embed(X.embed_input("chunk")))
+    Q.run_available(made, Q.append_sink(f"{folder}/out"), f"{folder}/log")
+    held = spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    return held.select("id", "ordinal", F.md5("chunk").alias("chunk"), F.size("embedding").alias("dimensions"))
+
+
+def generated_batch(spark: SparkSession, d: str) -> DataFrame:
+    """A batch run over the videos that lack a brief: artefacts of all sources in one pass, then the queue's new states.
+
+    The generator is the offline one; blank texts fail, and each task ends as completed or failed with its error.
+    """
+    newest = V.latest_by_aggregate(table(spark, d, "transcripts").where("video_id is not null"), "video_id", ["text", "shorty"])
+    lacking = newest.where(X.is_blank("shorty")).join(table(spark, d, "videos").select("video_id", "title", "channel", F.col("watch_date").alias("date")), "video_id")
+    made = generate(lacking, Extractive())
+    tasks = lacking.select("video_id", F.lit("pending").alias("status"), F.lit(None).cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("completed_at"), F.lit(None).cast("string").alias("error"))
+    changes = made.select("video_id", F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), "error")
+    ended = W.transition(tasks, changes, "video_id", F.to_timestamp(F.lit(NOW)))
+    return ended.join(made.select("video_id", F.col("brief").isNotNull().alias("brief"), F.size("questions").alias("asked")), "video_id").select(
+        "video_id", "status", "error", "brief", F.date_format("completed_at", "yyyy-MM-dd").alias("day"), (F.coalesce("asked", F.lit(0)) <= 10).alias("bounded")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         conformed_rows, stored_transcripts, updated_paths, updated_texts, appended_questions, appended_entities, edited_entities, added_entities, queue_transitions,
         swept_jobs, recovered_jobs, failure_files, pasted_transcripts, csv_sheets, joined_segments, filtered_counts, last_page, projected_columns, token_estimates,
-        enqueue_counters, newest_list, next_pages, oldest_missing, canonical_urls, filled_prompts, fetch_errors,
+        enqueue_counters, newest_list, next_pages, oldest_missing, canonical_urls, filled_prompts, fetch_errors, streamed_chunks, generated_batch,
     )
 }
 
@@ -309,4 +339,9 @@ SQL: dict[str, str] = {
     "fetch_errors": """
         SELECT id, CASE WHEN contains(e, 'No transcript') THEN 'No transcript available for this video' WHEN contains(e, 'Video unavailable') THEN 'Video is unavailable or private' ELSE e END AS told
         FROM (SELECT id, CASE id % 3 WHEN 0 THEN 'No transcript: ' || error WHEN 1 THEN error || ' (Video unavailable)' ELSE error END AS e FROM (SELECT DISTINCT id, error FROM processing_queue WHERE error IS NOT NULL))""",
+    "streamed_chunks": f"SELECT key AS id, ordinal, md5(chunk) AS chunk, 128 AS dimensions FROM ({chunks('SELECT id AS key, text FROM transcripts WHERE text IS NOT NULL')})",
+    "generated_batch": f"""
+        WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY created_at DESC NULLS LAST, id DESC) AS rn FROM transcripts WHERE video_id IS NOT NULL) WHERE rn = 1),
+        t AS (SELECT n.video_id, coalesce({strip('n.text')}, '') = '' AS bad FROM n JOIN videos v ON v.video_id = n.video_id WHERE {blank('n.shorty')})
+        SELECT video_id, CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status, CASE WHEN bad THEN 'no text' END AS error, NOT bad AS brief, '{NOW[:10]}' AS day, true AS bounded FROM t""",
 }
