@@ -18,6 +18,7 @@ for _lang, _words in FUNCTION.items():
     for _w in _words.split():
         if _seen[_w] == 1:
             WORD_LANGUAGES[_w] = _lang
+KANA = re.compile(r"[぀-ヿ]")
 TOKEN = re.compile(r"[^\W\d_]+")
 QUOTED = re.compile(r"[“\"„«»‟][^“”\"«»„]{3,}[”\"»“«]")
 #: How a question asks for a language, by the language asked for.
@@ -37,9 +38,8 @@ def language(text: str | None, margin: float = 1.5, least: float = 1) -> str | N
     """en, de, fr, es or ja; None where no language leads by ``margin``, or has ``least`` votes, or nothing is known."""
     if not text:
         return None
-    kana = sum("぀" <= c <= "ヿ" for c in text)
-    letters = sum(c.isalpha() for c in text)
-    if letters and kana > 0.3 * letters:
+    kana = len(KANA.findall(text))
+    if kana and kana > 0.3 * sum(map(str.isalpha, text)):
         return "ja"
     votes: Counter[str] = Counter()
     for w in TOKEN.findall(text.lower()):

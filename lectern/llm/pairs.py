@@ -70,24 +70,24 @@ def is_refusal(answer: str) -> bool:
     parts = [p for p in SENTENCE.split(text) if p.strip()]
     if not parts:
         return False
-    hits = [bool(REFUSAL.search(p)) and not (NOTHING.search(p) and not re.search(r"\b(?:I|ich|je)\b", p)) for p in parts]
-    if not any(hits[:2]):
+    if sum(len(words(p)) for p in parts) > 60:
         return False
-    rest = sum(len(words(p)) for p, h in zip(parts, hits) if not h)
-    return rest <= 14 and sum(len(words(p)) for p in parts) <= 60
+    declines = lambda p: bool(REFUSAL.search(p)) and not (NOTHING.search(p) and not re.search(r"\b(?:I|ich|je)\b", p))
+    if not any(map(declines, parts[:2])):
+        return False
+    return sum(len(words(p)) for p in parts if not declines(p)) <= 14
 
 
 def is_foreign(question: str | None, answer: str) -> bool:
     """The answer is in another language than the question, and not in one that the question asks for."""
     if not question:
         return False
-    asked = requested(question)
     body = LEAD.sub("", unquoted(answer))
     # a name or a lone word tells no language: short answers need two words of it
     tells = lambda t: language(t, 2.0, 1 if len(words(t)) >= SHORT else 2)
     got = tells(body) or (tells(answer) if len(words(body)) < 4 else None)
     own = language(question)
-    return bool(got and own and got != own and got not in asked)
+    return bool(got and own and got != own and got not in requested(question))
 
 
 def judge(question: str | None, answer: str | None, complete: float) -> str | None:
