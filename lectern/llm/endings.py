@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from lectern.llm.sketch import gather
+from lectern.llm.textutil import U64, mix
 
 UNIT = re.compile(r"\n+|[.!?。！？…]+(?=\s|$|[\"”’»)\]])|[^\W\d_]+(?:[’'\-][^\W\d_]+)*|\d+(?:[.,:]\d+)*|[^\w\s]")
 CLOSED = re.compile(r"[.!?。！？…]+[\"”’'»)\]*_]*$|[\])»”]$")
@@ -25,29 +26,40 @@ LINK = re.compile(r"(?:https?://|www\.)\S{6,}$")
 NAME = re.compile(r"(?:[^\W\d_a-zß-ÿ][\w’'.\-]+\s+){1,3}[^\W\d_a-zß-ÿ][\w’'\-]{2,}")
 ELLIPSIS = re.compile(r"(?:…|\.{3,})$")
 BITS = 21
+#: Letters of a word up to which its beginnings are counted; no word of these languages is longer.
+LONGEST = 64
 #: Straight quotes that a record was wrapped in.
 WRAP = re.compile(r"[\"'`]+$")
 
 
-def units(text: str) -> list[str]:
-    """Words, numbers (one symbol) and signs of a text, names as one symbol; sentence ends and line ends become '¶'."""
+def units(text: str, raw: list[str] | None = None) -> list[str]:
+    """Words, numbers (one symbol) and signs of a text, names as one symbol; sentence ends and line ends become '¶'.
+
+    ``raw``: takes the words as they stand."""
     out = []
     for line in text.split("\n"):
-        tail = "¶" if any(c.islower() for c in line) else "¤"  # a heading's end is no sentence end
-        for u in UNIT.findall(line):
-            if u[0] in ".!?。！？…":
+        found = UNIT.findall(line)
+        if raw is not None:
+            raw += found
+        for u in found:
+            first = u[0]
+            if first in ".!?。！？…":
                 out.append("¶")
-            elif u[0].isdigit():
+            elif first.isdigit():
                 out.append("0" if "." not in u else "0.0")
-            elif u[0].isupper() and out and out[-1] not in "¶¤" and not u.isupper():
+            elif first.isupper() and out and out[-1] not in "¶¤" and not u.isupper():
                 out.append("<N>")  # names inside a line are one symbol
             else:
                 out.append(u.lower())
         if line.strip():
-            out.append(tail)
+            out.append("¶" if any(map(str.islower, line)) else "¤")  # a heading's end is no sentence end
     return out
 
 
+def _is_word(unit: str) -> bool:
+    return unit[0].isalpha()
+
+
 def item_units(line: str) -> list[str]:
     """Words, numbers and signs of a list item without its mark and its closing sign."""
     units = [u.lower() if not u[0].isdigit() else "0" for u in UNIT.findall(ITEM_MARK.sub("", line))]
@@ -56,10 +68,56 @@ def item_units(line: str) -> list[str]:
     return units
 
 
-def _slots(words: tuple[str, ...]) -> tuple[int, int]:
-    """Places of a context in the two rows; the lesser count is never under the true one."""
-    h = xxhash.xxh64_intdigest("\x1f".join(words))
-    return h & ((1 << BITS) - 1), (1 << BITS) + ((h >> 32) & ((1 << BITS) - 1))
+class _Words(dict):
+    """64-bit hashes of units, the same in every process; kept for units seen before."""
+
+    def __missing__(self, unit: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        value = self[unit] = xxhash.xxh64_intdigest(unit)
+        return value
+
+
+_HASH = _Words()
+_FACTOR = U64(0x9E3779B97F4A7C15)
+
+
+def _hashed(listed: list[str]) -> np.ndarray:
+    return np.fromiter(map(_HASH.__getitem__, listed), dtype=np.uint64, count=len(listed))
+
+
+def _joined(before: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Hashes of contexts that are longer by one unit."""
+    return mix(before * _FACTOR + unit)
+
+
+def _places(contexts: np.ndarray) -> np.ndarray:
+    """Places of contexts in the two rows, one after the other; the lesser count is never under the true one."""
+    low = contexts & U64((1 << BITS) - 1)
+    return np.concatenate([low, U64(1 << BITS) + ((contexts >> U64(32)) & U64((1 << BITS) - 1))]).astype(np.int64)
+
+
+def _context(words: list[str]) -> np.ndarray:
+    h = mix(_hashed(words))
+    out = h[:1]
+    for k in range(1, len(words)):
+        out = _joined(out, h[k : k + 1])
+    return out
+
+
+def _contexts(h: np.ndarray, run: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length up to ``most``: the places at which a context of so many units of one run ends, and its hash."""
+    at, context = np.arange(len(h)), mix(h)
+    single, out = context, []
+    for n in range(1, most + 1):
+        if n > 1:
+            at = at[(at >= n - 1)]
+            at = at[run[at] == run[at - n + 1]]
+            context = single[at - n + 1]
+            for k in range(n - 2, -1, -1):
+                context = _joined(context, single[at - k])
+        out.append((at, context))
+    return out
 
 
 def ending_counts(texts: DataFrame) -> np.ndarray:
@@ -70,48 +128,60 @@ def ending_counts(texts: DataFrame) -> np.ndarray:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(4 << BITS, dtype=np.int64)
-        memo: dict[tuple[str, ...], tuple[int, int]] = {}
+
+        def count(h: np.ndarray, run: np.ndarray, counted: np.ndarray, ends: np.ndarray, most: int, salt: np.ndarray | None = None) -> None:
+            for at, context in _contexts(h, run, most):
+                picked = counted[at]
+                at, context = at[picked], context[picked]
+                places = _places(context if salt is None else _joined(salt, context))
+                np.add.at(total, places + np.tile(np.where(ends[at], 0, 2 << BITS), 2), 1)
+
+        def add(listed: list[str], items: list[str], words: Counter[str]) -> None:
+            if listed:
+                h, sign = _hashed(listed), np.array([u in "¶¤" for u in listed])
+                full = np.array([u == "¶" for u in listed])
+                last = np.array([u == "" for u in listed])  # between texts
+                stop = sign | last
+                follows = np.append(full[1:], False)
+                # a text's own end is left out, as it may be cut
+                count(h, np.cumsum(stop), ~stop & ~np.append(last[1:], True), follows, 3)
+            if items:
+                h, last = _hashed(items), np.array([u == "" for u in items])
+                count(h, np.cumsum(last), ~last, np.append(last[1:], True), 2, mix(_hashed(["i"])))
+            if words:
+                n = np.fromiter(words.values(), dtype=np.int64, count=len(words))
+                lead = mix(_hashed(["w"]))
+                np.add.at(total, _places(_joined(lead, mix(_hashed(list(words))))), np.tile(n, 2))
+                starts: Counter[str] = Counter()
+                for word, times in words.items():
+                    for k in range(1, min(len(word), LONGEST)):
+                        starts[word[:k]] += times
+                if starts:
+                    n = np.fromiter(starts.values(), dtype=np.int64, count=len(starts))
+                    np.add.at(total, (2 << BITS) + _places(_joined(lead, mix(_hashed(list(starts))))), np.tile(n, 2))
+
         for batch in batches:
-            ends: list[int] = []
-            seen: Counter[str] = Counter()
+            listed: list[str] = []
+            items: list[str] = []
+            words: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
-                u = units(text)
+                raw: list[str] = []
+                u = units(text, raw)
                 while u and u[-1] in "¶¤":
                     u.pop()
-                seen.update(w.lower() for w in UNIT.findall(text)[:-1] if w[0].isalpha())
-                lines = text.rstrip().split("\n")
-                for line in lines[:-1]:
+                listed += u
+                listed.append("")
+                words.update(map(str.lower, filter(_is_word, raw[:-1])))
+                for line in text.rstrip().split("\n")[:-1]:
                     if ITEM.match(line):
-                        item = item_units(line)
-                        for n in (1, 2):
-                            for i in range(n - 1, len(item)):
-                                slot = _slots(("i", *item[i - n + 1 : i + 1]))
-                                base = 0 if i == len(item) - 1 else 2 << BITS
-                                ends += (base + slot[0], base + slot[1])
-                for i in range(len(u) - 1):
-                    if u[i] in "¶¤":
-                        continue
-                    base = 0 if u[i + 1] == "¶" else 2 << BITS
-                    for n in (1, 2, 3):
-                        if i + 1 < n or (n > 1 and u[i - n + 1] in "¶¤"):
-                            break
-                        key = tuple(u[i - n + 1 : i + 1])
-                        slot = memo.get(key)
-                        if slot is None:
-                            if len(memo) > 500_000:
-                                memo.clear()
-                            slot = memo[key] = _slots(key)
-                        ends += (base + slot[0], base + slot[1])
-            for word, times in seen.items():
-                for place in _slots(("w", word)):
-                    total[place] += times
-                for n in range(1, min(len(word), 24)):
-                    for place in _slots(("w", word[:n])):
-                        total[place + (2 << BITS)] += times
-            if ends:
-                total += np.bincount(np.array(ends, dtype=np.int64), minlength=4 << BITS)
+                        items += item_units(line)
+                        items.append("")
+                if len(listed) > 500_000 or len(words) > 200_000:
+                    add(listed, items, words)
+                    listed, items, words = [], [], Counter()
+            add(listed, items, words)
         return total
 
     return gather(texts, fill, 4 << BITS)
@@ -178,7 +248,7 @@ class Endings:
         return best
 
     def _seen(self, words: list[str]) -> tuple[int, int]:
-        p, q = _slots(tuple(words))
+        p, q = _places(_context(words))
         return int(min(self.ends[p], self.ends[q])), int(min(self.goes[p], self.goes[q]))
 
 
