@@ -105,17 +105,16 @@ def _context(words: list[str]) -> np.ndarray:
     return out
 
 
-def _contexts(h: np.ndarray, run: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _contexts(h: np.ndarray, run: np.ndarray, most: int, salt: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length up to ``most``: the places at which a context of so many units of one run ends, and its hash."""
-    at, context = np.arange(len(h)), mix(h)
-    single, out = context, []
+    at, single, out = np.arange(len(h)), mix(h), []
+    first = single if salt is None else _joined(salt, single)
     for n in range(1, most + 1):
-        if n > 1:
-            at = at[(at >= n - 1)]
-            at = at[run[at] == run[at - n + 1]]
-            context = single[at - n + 1]
-            for k in range(n - 2, -1, -1):
-                context = _joined(context, single[at - k])
+        at = at[at >= n - 1]
+        at = at[run[at] == run[at - n + 1]]
+        context = first[at - n + 1]
+        for k in range(n - 2, -1, -1):
+            context = _joined(context, single[at - k])
         out.append((at, context))
     return out
 
@@ -130,10 +129,9 @@ def ending_counts(texts: DataFrame) -> np.ndarray:
         total = np.zeros(4 << BITS, dtype=np.int64)
 
         def count(h: np.ndarray, run: np.ndarray, counted: np.ndarray, ends: np.ndarray, most: int, salt: np.ndarray | None = None) -> None:
-            for at, context in _contexts(h, run, most):
+            for at, context in _contexts(h, run, most, salt):
                 picked = counted[at]
-                at, context = at[picked], context[picked]
-                places = _places(context if salt is None else _joined(salt, context))
+                at, places = at[picked], _places(context[picked])
                 np.add.at(total, places + np.tile(np.where(ends[at], 0, 2 << BITS), 2), 1)
 
         def add(listed: list[str], items: list[str], words: Counter[str]) -> None:
@@ -144,10 +142,10 @@ def ending_counts(texts: DataFrame) -> np.ndarray:
                 stop = sign | last
                 follows = np.append(full[1:], False)
                 # a text's own end is left out, as it may be cut
-                count(h, np.cumsum(stop), ~stop & ~np.append(last[1:], True), follows, 3)
+                count(h, 2 * np.cumsum(stop) - stop, ~stop & ~np.append(last[1:], True), follows, 3)
             if items:
                 h, last = _hashed(items), np.array([u == "" for u in items])
-                count(h, np.cumsum(last), ~last, np.append(last[1:], True), 2, mix(_hashed(["i"])))
+                count(h, 2 * np.cumsum(last) - last, ~last, np.append(last[1:], True), 2, mix(_hashed(["i"])))
             if words:
                 n = np.fromiter(words.values(), dtype=np.int64, count=len(words))
                 lead = mix(_hashed(["w"]))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import language, pairs, truncation
+from lectern.llm.endings import Endings, ending_counts
 
 SUBJECTS = ["The archivist", "A former student", "The night shift", "Our sound technician", "The city council"]
 VERBS = ["repaired", "inspected", "borrowed", "abandoned", "catalogued"]
@@ -142,3 +143,13 @@ def test_shortened_versions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         assert {r["text"] for r in pairs.shortened_versions(df).collect()} == want
     spark.conf.set("spark.sql.shuffle.partitions", 3)
+
+
+def test_ending_counts(spark):
+    texts = ["The red kiln broke. The red kiln.\n- old radio mast\n- old radio\nThe red kiln stood", "The red kiln broke.", None, "", "kiln"]
+    e = Endings(ending_counts(spark.createDataFrame([(t,) for t in texts], "t string")))
+    # (ends, goes on): a text's own end is left out, a context spans no sentence end
+    assert e._seen(["kiln"]) == (1, 3) and e._seen(["red", "kiln"]) == (1, 3) and e._seen(["the", "red", "kiln"]) == (1, 3)
+    assert e._seen(["broke"]) == (1, 0) and e._seen(["kiln", "broke"]) == (1, 0) and e._seen(["broke", "the"]) == (0, 0)
+    assert e._seen(["i", "mast"]) == (1, 0) and e._seen(["i", "radio", "mast"]) == (1, 0) and e._seen(["i", "old", "radio"]) == (1, 1) and e._seen(["i", "radio"]) == (1, 1)
+    assert e._seen(["w", "kiln"])[0] == 4 and e._seen(["w", "kil"])[1] == 4 and e._seen(["w", "zz"]) == (0, 0)
