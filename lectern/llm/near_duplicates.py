@@ -23,8 +23,8 @@ from lectern.session import cut
 
 #: Entries of one index key that are paired in one piece; longer runs are cut into blocks of this size, each pair of blocks on its own.
 BLOCK = 4096
-#: Distinct texts whose index entries fill one partition.
-TEXTS_A_PART = 4096
+#: Shingles of distinct texts whose index entries (about 0.7 of their number) fill one partition.
+SHINGLES_A_PART = 1_250_000
 #: Bits of a packed index entry that hold its key within its partition; two more say on which side of a pair it may stand.
 KEY_BITS = 38
 
@@ -274,22 +274,23 @@ def linked_representatives(
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << sketch_bits, dtype=np.uint32)
-        names = ["id", "same", "slice", "counts"]
+        names = ["id", "same", "size", "slice", "counts"]
         for batch in batches:
             for rows, tokens in shingle_rows(batch.column(1).to_pylist(), shingle, min_words):
                 np.add.at(total, (tokens >> U64(48 - sketch_bits)).astype(np.int64), np.uint32(1))
-                row, _, _, key = _set_keys(rows, tokens)
+                row, _, size, key = _set_keys(rows, tokens)
                 nothing = pa.nulls(len(row))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(key), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(key), pa.array(size), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
         counted = packed_slices(total)
         nothing = pa.nulls(counted.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([nothing, nothing, *counted.columns], names)
+        yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, *counted.columns], names)
 
-    surveyed = cut(base.mapInArrow(survey, "id long, same long, slice int, counts binary"))
+    surveyed = cut(base.mapInArrow(survey, "id long, same long, size long, slice int, counts binary"))
     held = sum_slices(surveyed.where("slice is not null").select("slice", "counts"), 1 << sketch_bits)
     members = surveyed.where("slice is null").select("id", "same")
     reps = members.groupBy("same").agg(F.min("id").alias("rep"))
-    parts = max(8, -(-reps.count() // TEXTS_A_PART))
+    total = surveyed.where("slice is null").groupBy("same").agg(F.max("size").alias("size")).agg(F.sum("size")).first()[0]
+    parts = max(8, -(-(total or 0) // SHINGLES_A_PART))
     # eight levels for each doubling of the frequency; one text is level 0
     levels = spark.sparkContext.broadcast(np.minimum(255, np.round(8 * np.log2(np.maximum(held, 1)))).astype(np.uint8))
     alone = int(np.floor(8 * np.log2(rare))) if rare > 0 else -1
