@@ -95,6 +95,7 @@ def record_id(video: Text, kind: str, ordinal: Text | None = None) -> Column:
 
 def brief_header(title: Text, channel: Text, date: Text) -> Column:
     """The four header lines of a brief, and the blank line after them."""
+    # fixed values: the labels and defaults
     who = or_default(channel, "Unknown channel")
     lines = [F.concat(F.lit("SOURCE: "), or_default(title, "Untitled")), F.concat(F.lit("CHANNEL: "), who), F.concat(F.lit("DATE: "), or_default(date, "unknown")), F.concat(F.lit("CREATOR: "), who)]
     return F.concat(F.concat_ws("\n", *lines), F.lit("\n\n"))
@@ -130,6 +131,7 @@ def show_count(value: Text) -> Column:
 
 def fetch_error(message: Text) -> Column:
     """A fetch error in plain words; other messages as they are."""
+    # fixed values: parts of messages and what they mean
     m = col(message)
     return (
         F.when(m.contains("No transcript"), F.lit("No transcript available for this video"))
