@@ -16,6 +16,10 @@ DIGITS = 9
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column; rows of another size than the longest, and nulls, are zero vectors."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if len(column) and not column.null_count and lengths[0] and (lengths == lengths[0]).all():
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     rows = column.to_pylist()
     size = max((len(r) for r in rows if r), default=1)
     out = np.zeros((len(rows), size), dtype=np.float64)
@@ -74,7 +78,7 @@ def _search(rows: DataFrame, block: list[tuple], k: int, lists: bool) -> DataFra
 
 def _blocks(queries: DataFrame) -> Iterator[list[tuple]]:
     block: list[tuple] = []
-    for row in queries.toLocalIterator():
+    for row in queries.toLocalIterator(prefetchPartitions=True):
         block.append(tuple(row))
         if len(block) == BLOCK:
             yield block

@@ -15,6 +15,7 @@ from lectern.operators.nearest import best_per_id, exact_neighbours
 from lectern.operators.providers import Provider
 from lectern.operators.search import keyword_search
 from lectern.operators.versions import latest_by_aggregate
+from lectern.session import cut
 
 LAYERS = ("chunk", "shorty", "synthetic_question")
 # Fixed value: what is said where nothing was found.
@@ -106,6 +107,7 @@ def retrieve(
     """
     if asked is None:
         asked = variants(questions).withColumn("embedding", embed(embed_input("query")))
+    asked = cut(asked)  # all layers read it
     parts = []
     for layer in LAYERS:
         brief = layer == "shorty"
