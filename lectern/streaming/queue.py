@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def read_stream(spark: SparkSession, folder: str, pattern: str, schema_of: DataFrame, files_per_trigger: int = 10) -> DataFrame:
-    """New Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema_of.schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    """New Parquet files of a folder as a stream: the files that match, and all files of the folders that match."""
+    # the braces make any pattern a glob; Spark takes a plain path as the base of partitions, which a file can't be
+    return spark.readStream.schema(schema_of.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{{{pattern}}}")
 
 
 def as_event_time(df: DataFrame, column: str) -> DataFrame:

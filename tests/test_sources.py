@@ -64,6 +64,18 @@ def test_stream_log(spark, tmp_path):
     assert Q.current_state(out.drop("batch"), "key", "t", "state").first()["state"] == "s2"
 
 
+def test_stream_of_a_table_of_many_files(spark, data, tmp_path):
+    from lectern.plans.changes import streamed_chunks
+    from lectern.plans.library import stream_events
+
+    for name in ("transcripts", "events"):  # a table is one file there, a folder of files here
+        spark.read.parquet(f"{data}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for query in (streamed_chunks, stream_events):
+        one, many = query(spark, data), query(spark, str(tmp_path))
+        assert one.count() > 0
+        assert one.exceptAll(many).count() == many.exceptAll(one).count() == 0
+
+
 def test_session(spark):
     assert build_session() is not None
     ensure_checkpoint_dir(spark)
