@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.llm import near_duplicates as N
@@ -131,3 +133,22 @@ def test_word_hashes_follow_words():
     assert counts.tolist() == [len(words(t)) for t in texts]
     known = dict(zip(flat, hashes.tolist()))
     assert [known[w] for w in flat] == hashes.tolist() and len(set(known.values())) == len(known)
+
+
+def test_a_task_gives_its_pairs_in_pieces():
+    """Keys of many entries make far more pairs than entries; a task must never hold all of them."""
+    n, keys = 300, 20
+    scheme, sets = N.Scheme(0.6), np.arange(n, dtype=np.uint64)
+    owner, key = np.repeat(np.arange(n), keys), np.tile(np.arange(keys, dtype=np.uint64), n)
+    both = np.ones(len(owner), dtype=bool)
+    group = pa.Table.from_batches([N._entry_rows(sets, np.full(n, 100), (owner, key, both, both), 1)])
+    pieces = list(N._meet(group, scheme, 4096, most=10_000))
+    assert len(pieces) > 10 and max(p.num_rows for p in pieces) <= 10_000 + n * keys
+    total = pa.Table.from_batches(pieces).group_by(["a", "b"]).aggregate([("common", "sum")]).to_pydict()
+    assert len(total["a"]) == n * (n - 1) // 2 and set(total["common_sum"]) == {keys}
+    # keys with more entries than a block: each pair of blocks is a row of its own
+    rows = list(N._blocks(group, scheme, 50))
+    assert len(rows) == keys * 6 * 7 // 2 and {r.num_rows for r in rows} == {1}
+    met = pa.Table.from_batches([p for r in rows for p in N._meet_blocks([c[0].as_py() for c in r.columns], scheme)])
+    total = met.group_by(["a", "b"]).aggregate([("common", "sum")]).to_pydict()
+    assert len(total["a"]) == n * (n - 1) // 2 and set(total["common_sum"]) == {keys}
