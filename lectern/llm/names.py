@@ -311,6 +311,21 @@ def _kind_of(types: DataFrame) -> DataFrame:
     return F.when(F.col("type").isNull(), F.lit("unknown")).otherwise(F.coalesce(named, F.lit("other")))
 
 
+def _met(indexed: DataFrame) -> DataFrame:
+    """Pairs of forms (a, b), a < b, that share a key of the index (form, key, wide, seeks).
+
+    The index holds about a hundred keys a form, which no estimate of its size tells: without the hints a table of few megabytes
+    would have it sent through the driver.
+    """
+    keyed = indexed.where("not wide").select("form", "key").hint("merge")
+    met = keyed.withColumnRenamed("form", "a").join(keyed.withColumnRenamed("form", "b"), "key").where("a < b").select("a", "b")
+    # keys that stand for many forms: only from a short form to the others, or between a short form's own and the narrow ones
+    seeking = indexed.where("seeks").select(F.col("form").alias("a"), "key", F.col("wide").alias("wa")).hint("merge")
+    sought = indexed.select(F.col("form").alias("b"), "key", F.col("wide").alias("wb")).hint("merge")
+    asked = seeking.join(sought, "key").where("a <> b and (wa or wb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return met.unionByName(asked).distinct()
+
+
 def name_classes(
     entities: DataFrame, *, name_col: str = "name", type_col: str = "type", alias_col: str = "aliases", hot: int = 40
 ) -> DataFrame:
@@ -373,13 +388,7 @@ def name_classes(
 
     indexed = forms.select("form", "kind", "tokens", "acronym", "freq").mapInArrow(keys_of, "form long, key string, wide boolean, seeks boolean")
     indexed = cut(indexed.select("form", F.xxhash64("key").alias("key"), "wide", "seeks"))
-    keyed = indexed.where("not wide").select("form", "key")
-    met = keyed.withColumnRenamed("form", "a").join(keyed.withColumnRenamed("form", "b"), "key").where("a < b").select("a", "b")
-    # keys that stand for many forms: only from a short form to the others, or between a short form's own and the narrow ones
-    seeking = indexed.where("seeks").select(F.col("form").alias("a"), "key", F.col("wide").alias("wa"))
-    sought = indexed.select(F.col("form").alias("b"), "key", F.col("wide").alias("wb"))
-    asked = seeking.join(sought, "key").where("a <> b and (wa or wb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = met.unionByName(asked).distinct()
+    pairs = _met(indexed)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

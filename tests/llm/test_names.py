@@ -176,3 +176,11 @@ def test_long_words_share_a_key_after_any_two_edits():
         for at in sorted(rng.sample(range(len(word)), 2), reverse=True):
             other = other[:at] + rng.choice(["", rng.choice(letters), rng.choice(letters) + other[at]]) + other[at + 1 :]
         assert N.deletes(word, 2) & N.deletes(other, 2)
+
+
+def test_the_index_is_not_sent_through_the_driver(spark):
+    rows = [(1, 7, False, False), (2, 7, False, True), (3, 7, True, False), (2, 8, True, True), (4, 8, True, False)]
+    met = N._met(spark.createDataFrame(rows, "form long, key long, wide boolean, seeks boolean"))
+    assert {tuple(r) for r in met.collect()} == {(1, 2), (2, 3), (2, 4)}
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
